@@ -3,6 +3,8 @@
 The long form is the primary one; the wide table with a column per section is an export.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,11 +64,17 @@ def pool_section_totals(totals: DataFrame) -> DataFrame:
 def course_year_facts(rows: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
     """Section rows (see `clean_registrations`) -> long course-year facts, schema `FACTS`.
 
+    The collapsed rows are used twice, for the pools and for their members. Observing all their
+    sums (readable as query metrics) keeps filters and column pruning from making the two uses
+    different, so that Spark scans, joins and shuffles the registrations once and reuses it.
+
     One exchange by course and year serves the yearly capacity, the course attributes and the
     section sums; a course-year has at most one collapsed row per section, cross-list flag and
     attribute combination there.
     """
-    totals = pool_section_totals(section_totals(rows, sections))
+    sums = [F.sum(m).alias(m) for m in ("n_rows", "n_unknown", "enrolled", "capacity")]
+    collapsed = section_totals(rows, sections).observe(f"section_totals_{uuid.uuid4().hex}", *sums)
+    totals = pool_section_totals(collapsed)
     united = totals.withColumn("course", paste(": ", F.col("course_name"), F.col("course_title")))
     by_course = united.repartition("course", "reporting_year")
     course_year = Window.partitionBy("course", "reporting_year")

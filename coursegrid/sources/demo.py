@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 from coursegrid.schemas import CAPACITY, REGISTRATIONS
 
+# Only the columns in use; a given schema saves the footer reads of schema inference.
+LINES = (
+    "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+)
+PARTS = "p_partkey long, p_name string, p_type string, p_size int"
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"
+
 
 def registrations(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    parts = spark.read.parquet(f"{folder}/part.parquet")
+    lines = spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet")
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/part.parquet")
     year, month = F.year("l_shipdate"), F.month("l_shipdate")
     semester = F.when(month <= 5, "SP").when(month <= 7, "SU").otherwise("FA")
     size = F.col("p_size")
@@ -49,7 +57,7 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def capacity(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = spark.read.schema(ORDERS).parquet(f"{folder}/orders.parquet")
     key = F.col("o_orderkey")
     columns = {
         "section_id": key,
