@@ -67,6 +67,18 @@ class Tables:
     def facts(self) -> DataFrame:
         return facts.course_year_facts(self.rows(collapse=True))
 
+    @property
+    def subject_facts(self) -> DataFrame:
+        """The older profile: a few subjects, all schedule types and terms."""
+        rows = clean.clean_registrations(
+            self.registrations,
+            self.capacity,
+            subjects=SUBJECTS,
+            regular_only=False,
+            collapse=True,
+        )
+        return facts.course_year_facts(rows)
+
     def csv_roundtrip(self) -> DataFrame:
         path = io.scratch_path(self.spark, "wide")
         io.write_wide_csv(facts.to_wide(self.facts), path)
@@ -118,6 +130,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "enrollment_totals": lambda t: facts.enrollment_totals(t.facts),
     "course_year_facts": lambda t: t.facts,
     "wide_facts": lambda t: facts.to_wide(t.facts),
+    "wide_facts_subjects": lambda t: facts.to_wide(t.subject_facts),
     "csv_roundtrip": lambda t: t.csv_roundtrip(),
     # sections and terms
     "section_long": lambda t: courses.section_terms(t.facts, EXCLUDED_TERMS),

@@ -25,7 +25,12 @@ INPUT_TERMS = _texts(EXCLUDED_INPUT_TERMS)
 TERMS = _texts(EXCLUDED_TERMS)
 YEARS = ", ".join(str(y) for y in EXCLUDED_YEARS)
 
-# Each step may use the ones before it.
+_OF_SUBJECTS = f"subject IN ({_texts(SUBJECTS)})"
+SCOPE = f"schedule_type IS NULL AND acad_year_term NOT IN ({INPUT_TERMS})"
+# Queries with a scope of their own.
+SCOPES = {"wide_facts_subjects": _OF_SUBJECTS}
+
+# Each step may use the ones before it; `scope` is filled in per query.
 STEPS = {
     "sized": """
         SELECT l.*, p.*, CAST(year(l_shipdate) AS INT) AS y, month(l_shipdate) AS m,
@@ -61,12 +66,12 @@ STEPS = {
                substr(acad_year_term, 1, length(acad_year_term) - 2) AS term_year,
                right(acad_year_term, 2) AS semester
         FROM reg""",
-    "clean": f"""
+    "clean": """
         SELECT reg.* EXCLUDE (acad_year_term, section_number, schedule_type), section_capacity,
                substr(acad_year_term, 1, length(acad_year_term) - 2) AS term_year,
                right(acad_year_term, 2) || '_' || section_number AS section
         FROM reg LEFT JOIN cap USING (course_section_id)
-        WHERE schedule_type IS NULL AND acad_year_term NOT IN ({INPUT_TERMS})""",
+        WHERE {scope}""",
     "united": """
         SELECT * EXCLUDE (course_name, course_title),
                course_name || ': ' || course_title AS course
@@ -245,7 +250,6 @@ _TITLES = """SELECT course_title, acad_year_term,
                     CASE WHEN count(*) = count(enrolled) THEN sum(enrolled) END AS enrolled,
                     min(reporting_year) AS reporting_year
              FROM reg WHERE {where} GROUP BY course_title, acad_year_term"""
-_OF_SUBJECTS = f"subject IN ({_texts(SUBJECTS)})"
 
 QUERIES = {
     "scan_registrations": "SELECT * FROM reg",
@@ -294,6 +298,7 @@ QUERIES = {
         GROUP BY c.course, c.reporting_year, known, CASE WHEN known THEN c.semester END,
                  CASE WHEN known THEN c.number END, CASE WHEN known THEN c.section END""",
     "wide_facts": WIDE,
+    "wide_facts_subjects": WIDE,
     "csv_roundtrip": WIDE,
     "section_long": """SELECT course, reporting_year, semester_year, term, semester, section,
         enrolled, subject, course_level, yearly_capacity FROM sections""",
@@ -383,5 +388,9 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    steps = ",\n".join(f"{name} AS ({body})" for name, body in STEPS.items())
-    return {name: f"WITH {steps}\n{body}" for name, body in QUERIES.items()}
+    sql = {}
+    for name, body in QUERIES.items():
+        steps = {**STEPS, "clean": STEPS["clean"].format(scope=SCOPES.get(name, SCOPE))}
+        listed = ",\n".join(f"{step} AS ({text})" for step, text in steps.items())
+        sql[name] = f"WITH {listed}\n{body}"
+    return sql

@@ -18,29 +18,35 @@ PARTS = "p_partkey long, p_name string, p_type string, p_size int"
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"
 
 
-def registrations(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet")
+def _courses(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as courses; the texts are made here, once per part and not per line."""
     parts = spark.read.schema(PARTS).parquet(f"{folder}/part.parquet")
-    year, month = F.year("l_shipdate"), F.month("l_shipdate")
-    semester = F.when(month <= 5, "SP").when(month <= 7, "SU").otherwise("FA")
     size = F.col("p_size")
     number = F.when(size <= 40, size * 10 + 100).otherwise(size * 50)
     level = F.when(number >= 1000, F.floor(number / 1000) - 1).otherwise(F.floor(number / 100))
+    return parts.select(
+        F.col("p_partkey").alias("course_id"),
+        F.concat("p_type", F.lit("-"), number.cast("string")).alias("course_name"),
+        F.col("p_name").alias("course_title"),
+        F.col("p_type").alias("subject"),
+        number.cast("string").alias("course_number"),
+        level.cast("string").alias("course_level"),
+    )
+
+
+def registrations(spark: SparkSession, folder: str) -> DataFrame:
+    lines = spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet")
+    year, month = F.year("l_shipdate"), F.month("l_shipdate")
+    semester = F.when(month <= 5, "SP").when(month <= 7, "SU").otherwise("FA")
     crosslisted = F.col("l_returnflag") == "R"
-    name = F.concat("p_type", F.lit("-"), number.cast("string"))
     no_text = F.lit(None).cast("string")
     columns = {
         "acad_year_term": F.concat(year.cast("string"), semester),
         "reporting_year": F.when(semester == "FA", year).otherwise(year - 1),
-        "course_id": F.col("p_partkey"),
         "course_section_id": F.col("l_orderkey"),
-        "course_name": name,
-        "course_title": F.col("p_name"),
-        "subject": F.col("p_type"),
-        "course_number": number.cast("string"),
         "section_number": F.lpad((F.col("l_suppkey") % 24).cast("string"), 2, "0"),
         "enrolled": F.col("l_quantity"),
-        "xlist_primary_course": F.when(crosslisted, name),
+        "xlist_primary_course": F.when(crosslisted, F.col("course_name")),
         "xlist_section1": F.when(
             crosslisted, F.concat(F.lit("X"), F.col("l_orderkey").cast("string"))
         ),
@@ -50,10 +56,11 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
         "schedule_type": F.when(
             (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "LAB"
         ),
-        "course_level": level.cast("string"),
     }
-    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(*[columns[f].alias(f) for f in REGISTRATIONS.fieldNames()])
+    joined = lines.join(_courses(spark, folder), F.col("l_partkey") == F.col("course_id"))
+    return joined.select(
+        *[columns.get(f, F.col(f)).alias(f) for f in REGISTRATIONS.fieldNames()]
+    )
 
 
 def capacity(spark: SparkSession, folder: str) -> DataFrame:

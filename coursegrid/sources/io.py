@@ -42,6 +42,19 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FACTS).parquet(path).select(*FACTS.fieldNames())
 
 
+def save_facts_table(facts: DataFrame, table: str, *, buckets: int) -> None:
+    """Long facts as a table bucketed by course and year.
+
+    Questions group by course and year first; on this table they do so without a shuffle.
+    Pick `buckets` so that one bucket fits a task. Bucketing with the same number of shuffle
+    partitions writes one file per bucket.
+    """
+    keys = ["course", "reporting_year"]
+    facts.repartition(buckets, *keys).write.mode("errorifexists").bucketBy(buckets, *keys).sortBy(
+        *keys
+    ).saveAsTable(table)
+
+
 def write_wide_csv(wide: DataFrame, path: str) -> None:
     """The wide export as CSV files; nulls are written as `NA`."""
     wide.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)

@@ -30,7 +30,7 @@ def _canonical(table: pa.Table) -> tuple[dict, list]:
 def differences(spark_df, con, sql: str) -> str | None:
     """None if equal, else what differs."""
     got_kinds, got = _canonical(spark_df.toArrow())
-    want_kinds, want = _canonical(con.execute(sql).to_arrow_table())
+    want_kinds, want = _canonical(con.sql(sql).to_arrow_table())
     if got_kinds != want_kinds:
         return f"schema {set(got_kinds.items()) ^ set(want_kinds.items())}"
     if len(got) != len(want):

@@ -13,7 +13,13 @@ from coursegrid.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("shared")
     session = local_session(
-        "4", 4, **{"spark.checkpoint.dir": str(folder), "spark.driver.memory": "4g"}
+        "4",
+        4,
+        **{
+            "spark.checkpoint.dir": str(folder),
+            "spark.sql.warehouse.dir": str(folder / "tables"),
+            "spark.driver.memory": "4g",
+        },
     )
     yield session
     session.stop()

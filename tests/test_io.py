@@ -48,6 +48,18 @@ def test_facts_are_partitioned_by_year(spark, tmp_path, registrar):
         io.write_facts(registrar.facts, path)
 
 
+def test_bucketed_facts_answer_without_a_shuffle(spark, registrar):
+    io.save_facts_table(registrar.facts, "bucketed_facts", buckets=4)
+    try:
+        stored = Registrar(spark.table("bucketed_facts"))
+        for question in (stored.open_seats("year"), stored.open_seats("semester")):
+            assert "Exchange" not in question._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in stored.section_marks()._jdf.queryExecution().executedPlan().toString()
+        same(stored.open_seats("year"), registrar.open_seats("year"))
+    finally:
+        spark.sql("DROP TABLE bucketed_facts")
+
+
 def test_wide_csv(spark, tmp_path, registrar):
     path = str(tmp_path / "wide")
     io.write_wide_csv(registrar.wide(), path)
