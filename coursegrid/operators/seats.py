@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursegrid.functions.nulls import if_known
+from coursegrid.functions.nulls import if_known, ratio
 from coursegrid.functions.terms import term_key, term_order, term_semester, term_year
 from coursegrid.operators.courses import (
     choose,
+    course_terms,
     course_yearly,
     drop_values,
     offered_terms,
@@ -95,14 +96,18 @@ def completed_terms(facts: DataFrame, courses, *, excluded_terms=(), years=None)
     """The chosen courses over all terms; terms a course is not offered in have null measures.
 
     `years` is any table with the `reporting_year` values of the time axis, the facts unless
-    given; the axis has one entry per term, so each course row is expanded by it in place.
+    given.
     """
-    chosen = choose(facts, courses)
-    terms = offered_terms(chosen, excluded_terms=excluded_terms).select(
-        "course", "term", "semester_enrolled", "semester_capacity", "total_sections", "avg_section"
+    terms = course_terms(choose(facts, courses)).select(
+        "course",
+        "term",
+        "semester_enrolled",
+        "semester_capacity",
+        "total_sections",
+        ratio(F.col("semester_enrolled"), F.col("total_sections")).alias("avg_section"),
     )
-    spine = term_spine(facts if years is None else years)
-    full = _grid(chosen, spine, "term").join(terms, ["course", "term"], "left")
+    offered = F.col("semester_enrolled") != 0
+    full = _complete(terms, offered, term_spine(facts if years is None else years), "term")
     named = full.withColumns(
         {"year": term_year(F.col("term")), "semester": term_semester(F.col("term"))}
     )
@@ -117,18 +122,27 @@ def completed_years(
     facts: DataFrame, courses, *, excluded_terms=(), excluded_years=(), years=None
 ) -> DataFrame:
     """The chosen courses over all years from the first to the last; gaps have nulls."""
-    chosen = choose(facts, courses)
-    yearly = course_yearly(chosen, excluded_terms=excluded_terms, excluded_years=excluded_years)
+    yearly = course_yearly(facts, courses, excluded_terms=excluded_terms)
     spine = year_spine(facts if years is None else years)
-    grid = _grid(chosen, spine, "reporting_year")
-    full = grid.join(yearly, ["course", "reporting_year"], "left")
+    full = _complete(yearly, F.col("reporting_year").isNotNull(), spine, "reporting_year")
     return drop_values(full, "reporting_year", excluded_years)
 
 
-def _grid(chosen: DataFrame, spine: DataFrame, column: str) -> DataFrame:
-    """Every chosen course with every value of a spine."""
-    axis = spine.agg(F.array_sort(F.collect_set(column))).scalar()
-    return chosen.select("course").distinct().select("course", F.explode(axis).alias(column))
+def _complete(rows: DataFrame, present: Column, spine: DataFrame, axis: str) -> DataFrame:
+    """Every course of the rows with every value of the spine, with nulls where no row is present.
+
+    A course has at most one row per axis value, so its rows become one short map, which is
+    looked up for each value: one pass over the rows and no join.
+    """
+    measures = [c for c in rows.columns if c not in ("course", axis)]
+    entry = F.when(present, F.struct(axis, F.struct(*measures)))
+    values = spine.agg(F.array_sort(F.collect_set(axis))).scalar()
+    per_course = rows.groupBy("course").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_known")
+    )
+    grid = per_course.select("course", F.explode(values).alias(axis), "_known")
+    found = F.try_element_at("_known", F.col(axis)).alias("_found")
+    return grid.select("course", axis, found).select("course", axis, "_found.*")
 
 
 def seats_completed_terms(
