@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from coursegrid.functions.nulls import none_if_zero, paste, sum_known
 from coursegrid.functions.terms import FALL, SPRING, key_piece, term_label
 from coursegrid.operators.totals import with_group_totals
-from coursegrid.schemas import FACTS, SECTION_DOMAIN
+from coursegrid.schemas import FACTS, SECTION_DOMAIN, wide_schema
 
 ATTRIBUTES = ["subject", "course_number", "course_level"]
 
@@ -170,36 +170,22 @@ def list_cell_sum(rows: DataFrame) -> DataFrame:
 
 
 def to_wide(facts: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
-    """The wide export: totals, one enrollment column per section, attributes, capacities."""
+    """The wide export: totals, one enrollment column per section, attributes, capacities.
+
+    The totals are sums of their own, so that a query on them alone drops the section columns.
+    """
     fall, spring = F.col("semester") == FALL, F.col("semester") == SPRING
     sums = facts.groupBy(
         "course", "reporting_year", "course_number", "subject", "yearly_capacity", "course_level"
     ).agg(
+        _where(F.col("section_key").isNotNull(), "enrolled").alias("yearly_enrolled"),
+        _where(fall, "enrolled").alias("fall_enrolled"),
+        _where(spring, "enrolled").alias("spring_enrolled"),
         _where(fall, "capacity").alias("fall_capacity"),
         _where(spring, "capacity").alias("spring_capacity"),
         *[_where(F.col("section_key") == key, "enrolled").alias(key) for key in sections],
     )
-
-    def total(prefix: str) -> Column:
-        keys = [F.col(k) for k in sections if k.startswith(prefix)]
-        return sum(keys, F.lit(0.0))
-
-    return sums.withColumns(
-        {"fall_enrolled": total(FALL), "spring_enrolled": total(SPRING)}
-    ).select(
-        "course",
-        "reporting_year",
-        (F.col("fall_enrolled") + F.col("spring_enrolled")).alias("yearly_enrolled"),
-        "fall_enrolled",
-        "spring_enrolled",
-        *sections,
-        "course_number",
-        "subject",
-        "yearly_capacity",
-        "course_level",
-        "fall_capacity",
-        "spring_capacity",
-    )
+    return sums.select(*wide_schema(sections).fieldNames())
 
 
 def from_wide(wide: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
