@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from coursegrid.llm import secret_ledger
 from coursegrid.llm.quality_rules import RULES, STOP_WORDS, Rule
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,5 +51,29 @@ c AS (
 SELECT *, NOT ({base}) AS base_failed, ({rules}) AS kept FROM c"""
 
 
+def secret_ledger_sql() -> str:
+    parts = []
+    for rank, rule in enumerate(secret_ledger.RULES):
+        p = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT r, {rank} AS rank, '{rule.kind}' AS kind, string_split_regex(text, '{p}') AS gaps,
+         regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {rule.part}) AS parts, {rule.least} AS least FROM d""")
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
+    base = "rank < 3"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+u AS (SELECT r, rank, kind, least, unnest(gaps[:len(hits)]) AS gap, unnest(hits) AS hit, unnest(parts) AS part,
+             unnest(range(len(hits))) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, rank ORDER BY i)::BIGINT AS e FROM u),
+f AS (SELECT r, rank, kind, e - length(hit) AS s, e FROM p WHERE length(part) >= least),
+a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex, {joined} FILTER ({base}) AS base, {joined} AS spans
+      FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules()}
+    return {"op2_secret_ledger": secret_ledger_sql(), "op10_quality_rules": quality_rules()}

@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coursegrid.llm import quality_rules
+from coursegrid.llm import quality_rules, secret_ledger
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    ledger = secret_ledger.scan(documents)
+    found = secret_ledger.findings(documents, ledger, path_col="doc_id")
+    base = [r.kind for r in secret_ledger.BASE]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in base]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *counts,
+        F.sha2(secret_ledger.joined(of_base), 256).alias("base_sha256"),
+        secret_ledger.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op2_secret_ledger, op10_quality_rules)}
