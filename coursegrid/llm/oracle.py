@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursegrid.llm import secret_ledger
+from coursegrid.llm import secret_ledger, warc
 from coursegrid.llm.quality_rules import RULES, STOP_WORDS, Rule
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,5 +75,84 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (r)"""
 
 
+def perspective_sql() -> str:
+    def plain(x: str) -> str:
+        return f"replace(replace({x}, '<|im_', '<im_'), '|>', '>')"
+
+    return f"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         coalesce(floor(turn / 256), -1)::BIGINT AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+s AS (
+  SELECT t.conv_id, perspective, part, turn, role, text, role = perspective AS own,
+         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace({plain('role')}, '[\\r\\n]+', ' ', 'g') END || chr(10) AS head,
+         {plain('text')} || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, (sum(length(head) + length(body) + 1) OVER
+         (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text))::BIGINT - 1 AS e FROM s)
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own_turns,
+       string_agg(head || body || chr(10), '' ORDER BY e) AS text,
+       string_agg((e - length(body)) || ':' || e, ',' ORDER BY e) FILTER (own) AS mask
+FROM o GROUP BY conv_id, perspective, part"""
+
+
+def warc_sql() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    text = "html"
+    patterns = [("(?s)<!--.*?-->", "")]
+    patterns += [(f"(?is)<{n}(?:\\s[^>]*)?>.*?</{n}\\s*>", "") for n in warc.SILENT]
+    patterns += [("[\\r\\n\\t ]+", " "), (f"(?i)</?(?:{'|'.join(warc.BREAKING)})(?:[\\s/][^>]*)?>", "\n"), ("</?[A-Za-z!][^>]*>", "")]
+    for pattern, value in patterns:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
+    for entity, value in warc.ENTITIES:
+        text = f"replace({text}, {quoted(entity)}, {quoted(value)})"
+    for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " "), ("^[ \\n]+|[ \\n]+$", "")):
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
+    crlf = "chr(13) || chr(10)"
+
+    def uuid(h: str) -> str:
+        return "'<urn:uuid:' || " + " || '-' || ".join(f"{h}[{a}:{a + n - 1}]" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+    def fields(pairs: list[tuple[str, str]]) -> str:
+        each = ", ".join(f"'{n}: ' || regexp_replace(({v})::VARCHAR, '[\\r\\n]+', ' ', 'g')" for n, v in pairs)
+        return f"concat_ws({crlf}, {each})"
+
+    about = fields([("title", "nullif(title, '')"), ("languages", "nullif(lang, '')"), ("outlinks", "n_links"),
+                    ("payload-bytes", "strlen(html)"), ("text-digest", "'sha256:' || sha256(body)")])
+    head = fields([("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"),
+                   ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"),
+                   ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"),
+                   ("X-Source-Headers", "regexp_replace(source_headers, '[\\r\\n]+', '; ', 'g')"),
+                   ("Content-Type", "content_type"), ("Content-Length", "content_length")])
+    return f"""
+WITH p AS (
+  SELECT page_id AS source_id, url AS target_uri, coalesce(html, '') AS html,
+         sha256('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(url, '') || chr(10) || coalesce(html, '')) AS h
+  FROM pages),
+t AS (
+  SELECT source_id, target_uri, {uuid('h')} AS refers_to, html, 'sha256:' || sha256(html) AS payload_digest, {text} AS body,
+         trim(regexp_replace(regexp_extract(html, {quoted(warc.TITLE)}, 1), '\\s+', ' ', 'g')) AS title,
+         lower(regexp_extract(html, {quoted(warc.LANGUAGE)}, 1)) AS lang,
+         len(regexp_extract_all(html, {quoted(warc.LINK)})) AS n_links
+  FROM p),
+i AS (SELECT *, sha256('metadata' || chr(10) || refers_to) AS m, sha256('conversion' || chr(10) || refers_to) AS c FROM t),
+k AS (SELECT *, {uuid('m')} AS meta_id, {uuid('c')} AS text_id FROM i),
+r AS (
+  SELECT source_id, 'metadata' AS warc_type, meta_id AS record_id, refers_to, text_id AS concurrent_to, target_uri,
+         'application/warc-fields' AS content_type, payload_digest, {about} AS block FROM k
+  UNION ALL
+  SELECT source_id, 'conversion', text_id, refers_to, meta_id, target_uri, 'text/plain; charset=utf-8', payload_digest, body FROM k),
+f AS (
+  SELECT source_id, warc_type, record_id, refers_to, concurrent_to, target_uri, NULL::VARCHAR AS date, content_type,
+         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' AS source_headers, payload_digest,
+         'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block FROM r)
+SELECT *, sha256('WARC/1.1' || {crlf} || {head} || {crlf} || {crlf} || block || {crlf} || {crlf}) AS record_sha256 FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secret_ledger_sql(), "op10_quality_rules": quality_rules()}
+    return {"op1_warc_derivatives": warc_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op10_quality_rules": quality_rules()}

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import quality_rules, secret_ledger
+from coursegrid.llm import perspective, quality_rules, secret_ledger, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    derived = warc.derive(warc.responses(table(spark, folder, "pages")))
+    return derived.withColumn("record_sha256", F.sha2(warc.serialized(), 256))
+
+
 def op2_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     ledger = secret_ledger.scan(documents)
@@ -30,9 +35,15 @@ def op2_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    rotated = perspective.rotate(table(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
+    return rotated.withColumn("mask", F.array_join(spans, ","))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_ledger, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op6_perspective_rotation, op10_quality_rules)}
