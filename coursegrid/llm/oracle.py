@@ -154,5 +154,27 @@ f AS (
 SELECT *, sha256('WARC/1.1' || {crlf} || {head} || {crlf} || {crlf} || block || {crlf} || {crlf}) AS record_sha256 FROM f"""
 
 
+def winnowing_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    own = f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, {own} AS ws FROM documents),
+b AS (SELECT DISTINCT item_id, {own} AS ws FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i + 1:i + least(len(ws), 10)], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)),
+n AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(greatest(len(ws) - n + 1, 0))) AS i FROM d, n)),
+m AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (n, w)),
+k AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op10_quality_rules": quality_rules()}
+    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op10_quality_rules": quality_rules()}

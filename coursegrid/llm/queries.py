@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import perspective, quality_rules, secret_ledger, warc
+from coursegrid.llm import perspective, quality_rules, secret_ledger, warc, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op2_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnowing.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
 def op6_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     rotated = perspective.rotate(table(spark, folder, "conversations"))
     spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
@@ -46,4 +52,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op6_perspective_rotation, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op6_perspective_rotation, op10_quality_rules)}
