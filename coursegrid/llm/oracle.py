@@ -176,5 +176,20 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+def substring_sql() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+w AS (SELECT r, i, sha256(array_to_string(ws[i + 1:i + 35], ' ')) AS h
+      FROM (SELECT r, ws, unnest(range(len(ws) - 34)) AS i FROM d WHERE len(ws) >= 35)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM s),
+k AS (
+  SELECT r, count(*) FILTER (c.p IS NOT NULL) AS n_removed,
+         string_agg(word, ' ' ORDER BY u.p) FILTER (c.p IS NULL) AS kept
+  FROM (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM d) u LEFT JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op10_quality_rules": quality_rules()}
+    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules()}

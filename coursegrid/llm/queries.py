@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import perspective, quality_rules, secret_ledger, warc, winnowing
+from coursegrid.llm import perspective, quality_rules, secret_ledger, substring, warc, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,9 +47,14 @@ def op6_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return rotated.withColumn("mask", F.array_join(spans, ","))
 
 
+def op9_rabin_karp(spark: SparkSession, folder: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op6_perspective_rotation, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op6_perspective_rotation, op9_rabin_karp, op10_quality_rules)}
