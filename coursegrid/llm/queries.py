@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import perspective, quality_rules, secret_ledger, substring, warc, winnowing
+from coursegrid.llm import near_dup, perspective, quality_rules, secret_ledger, substring, warc, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
 
 
+def op4_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.group(table(spark, folder, "documents"), shingle=3, threshold=85)
+
+
 def op6_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     rotated = perspective.rotate(table(spark, folder, "conversations"))
     spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
@@ -57,4 +61,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op6_perspective_rotation, op9_rabin_karp, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op6_perspective_rotation, op9_rabin_karp, op10_quality_rules)}
