@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import near_dup, perspective, quality_rules, secret_ledger, substring, warc, winnowing
+from coursegrid.llm import near_dup, packing, perspective, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +52,23 @@ def op6_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return rotated.withColumn("mask", F.array_join(spans, ","))
 
 
+def op7_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, folder, "documents"), path).drop("ids")
+
+
+def op8_nb_char_linear(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.train(documents, table(spark, folder, "labels"))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_rabin_karp(spark: SparkSession, folder: str) -> DataFrame:
     left = substring.remove_repeats(table(spark, folder, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,4 +79,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op6_perspective_rotation, op9_rabin_karp, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules)}
