@@ -9,6 +9,8 @@ larger than its share of the different keys of the chunks.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +68,14 @@ def located(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
     return at, among[at] == keys
+
+
+def squeezed(totals: np.ndarray) -> bytes:
+    """Counts of any size, compressed."""
+    steps = np.ascontiguousarray(totals.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zlib.compress(steps.tobytes(), 1)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(parts.T).view("<u8").ravel()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from coursegrid.llm import secret_ledger, warc
+from coursegrid.llm.cross_entropy import PRIOR
 from coursegrid.llm.quality_rules import RULES, STOP_WORDS, Rule
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -191,5 +192,35 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN k USING (r)"""
 
 
+def cross_entropy_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def loss(which: str) -> str:
+        p = f"({which}.w + 1.0) / ({which}.n + types)"
+        return f"avg(-ln(({which}.vw + {PRIOR} * {p}) / ({which}.v + {PRIOR})))"
+
+    def counts(which: str, of: str) -> str:
+        return f"""
+{which}w AS (SELECT w, count(*) AS c FROM {of} GROUP BY w),
+{which}p AS (SELECT v, w, count(*) AS c FROM {of} GROUP BY v, w),
+{which} AS (
+  SELECT r, coalesce(p.c, 0) AS vw, coalesce(a.c, 0) AS v, coalesce(b.c, 0) AS w, (SELECT count(*) FROM {of}) AS n, i
+  FROM k LEFT JOIN {which}p p ON p.v = k.v AND p.w = k.w LEFT JOIN {which}w a ON a.w = k.v LEFT JOIN {which}w b ON b.w = k.w),"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{WORD}') AS ws FROM documents),
+k AS (
+  SELECT r, doc_id, i, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '') AS v
+  FROM (SELECT r, doc_id, unnest(list_append(ws, '')) AS w, unnest(range(len(ws) + 1)) AS i FROM d WHERE len(ws) > 0)),
+kt AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+{counts("b", "k")}{counts("t", "kt")}
+s AS (
+  SELECT r, count(*) AS n_tokens, {loss("t")} AS target_loss, {loss("b")} AS background_loss
+  FROM b JOIN t USING (r, i), (SELECT count(DISTINCT w) AS types FROM k) GROUP BY r)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, 6) AS target_loss,
+       round(background_loss, 6) AS background_loss, round(target_loss - background_loss, 6) AS difference
+FROM d LEFT JOIN s USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules()}
+    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op5_cross_entropy_difference": cross_entropy_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules()}

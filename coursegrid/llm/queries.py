@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import near_dup, packing, perspective, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
+from coursegrid.llm import cross_entropy, near_dup, packing, perspective, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op4_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.group(table(spark, folder, "documents"), shingle=3, threshold=85)
 
 
+def op5_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """The target are the documents labelled as of good quality."""
+    good = table(spark, folder, "labels").filter("quality = 1")
+    scored = cross_entropy.score(table(spark, folder, "documents"), good)
+    losses = ("target_loss", "background_loss", "difference")
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in losses])
+
+
 def op6_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     rotated = perspective.rotate(table(spark, folder, "conversations"))
     spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
@@ -79,4 +87,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op5_cross_entropy_difference, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules)}
