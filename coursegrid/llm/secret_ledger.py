@@ -55,6 +55,8 @@ RULES = BASE + MORE
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,version:int>"
 SPANS = f"array<{SPAN}>"
+#: What stands in a text in place of a secret.
+MARK = "<secret>"
 LEDGER = f"blob binary, scanned array<string>, spans {SPANS}"
 
 
@@ -158,7 +160,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
+def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
     """The text with every span, or run of overlapping spans, replaced by `mark`."""
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

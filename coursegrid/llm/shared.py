@@ -14,18 +14,19 @@ def settled(frame: DataFrame) -> DataFrame:
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_folder(frame.sparkSession))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; a temporary one for a session on one machine without it."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="checkpoints-")
+    return tempfile.mkdtemp(prefix="shared-")
 
 
 def partitions(spark: SparkSession) -> int:
