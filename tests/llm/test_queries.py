@@ -1,0 +1,118 @@
+"""The registered queries on the smallest tables: against their SQL, or against plain Python where there is none."""
+
+import zlib
+from collections import Counter
+
+import brute
+import compare
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from coursegrid.llm import oracle, queries, toxicity
+
+SQL = oracle.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, folder, name):
+    assert compare.differences(queries.queries()[name](spark, folder), compare.duck(folder), SQL[name]) is None
+
+
+def test_every_operator_is_registered():
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+
+
+@pytest.fixture(scope="module")
+def texts(spark, folder):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+
+
+def test_near_duplicates(spark, folder, texts):
+    got = queries.op4_bbit_minhash(spark, folder).collect()
+    want = brute.components(texts.items(), 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(texts)
+    assert all(r.n_shingles == len(brute.shingles(texts[r.doc_id], 3)) and r.kept == (r.doc_id == want[r.doc_id]) for r in got)
+    assert len(set(want.values())) < len(want)
+
+
+def holds(pieces, texts, window=1024):
+    """Whether the pieces are exactly the texts' tokens, and lie in their sequences without gaps."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc, sequences = {}, {}
+    for r in pieces:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(by_doc) == set(texts)
+    for i, text in texts.items():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= window
+    return sum(r.length for r in pieces) / (window * len(sequences))
+
+
+def test_packing(spark, folder, texts):
+    assert holds(queries.op7_nnls_packing(spark, folder).collect(), texts) > 0.95
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    english = spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'")  # the others' labels follow no text here
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").join(english, "doc_id").collect()}
+    got = queries.op8_nb_char_linear(spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == (r.score >= 0.5) for r in got)
+    out = [r for r in got if r.held_out and r.doc_id in labels]
+    right = Counter((labels[r.doc_id], r.predicted) for r in out)
+    assert right[1, 1] > 0.85 * (right[1, 0] + right[1, 1]) and right[0, 1] <= 0.005 * (right[0, 0] + right[0, 1])
+
+
+def test_pipeline_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, states = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        states.append(({r.doc_id: r for r in before.collect()}, docs.collect()))
+        assert name == "packing" or docs.columns == columns
+    (raw, tame), (_, single), (_, fair), (_, safe), (last, pieces) = states
+
+    model = toxicity.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    low = toxicity.scores([r.text or "" for r in raw.values()], model) < 0.5
+    assert {r.doc_id for r in tame} == {i for i, ok in zip(raw, low) if ok}
+
+    of = brute.components([(r.doc_id, r.text) for r in tame], 5, 80)
+    assert {r.doc_id for r in single} == {i for i, c in of.items() if i == c}
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    hit = brute.hits([r.text for r in single], items)
+    assert {r.doc_id for r in fair} == {r.doc_id for r, h in zip(single, hit) if not h[1]}
+    assert len(fair) < len(single) < len(tame)
+
+    kept, changed = {r.doc_id: r for r in fair}, 0
+    for r in safe:
+        if r.text == kept[r.doc_id].text:
+            assert not brute.secrets(r.text) and r.n_chars == kept[r.doc_id].n_chars
+        else:
+            changed += 1
+            assert brute.secrets(kept[r.doc_id].text) and r.n_chars == len(r.text)
+    assert len(safe) == len(fair) and changed
+    assert holds(pieces, {i: r.text for i, r in last.items()}) > 0.95
+
+
+def test_pipeline_runs(spark, folder):
+    got = corpus_pipeline.run(spark, folder)
+    assert got.filter(F.col("offset") == 0).count() == got.select("sequence_id").distinct().count()
