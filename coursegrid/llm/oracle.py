@@ -105,15 +105,13 @@ def warc_sql() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     text = "html"
-    patterns = [("(?s)<!--.*?-->", "")]
-    patterns += [(f"(?is)<{n}(?:\\s[^>]*)?>.*?</{n}\\s*>", "") for n in warc.SILENT]
-    patterns += [("[\\r\\n\\t ]+", " "), (f"(?i)</?(?:{'|'.join(warc.BREAKING)})(?:[\\s/][^>]*)?>", "\n"), ("</?[A-Za-z!][^>]*>", "")]
-    for pattern, value in patterns:
+    for pattern, value in ((warc.silent(), ""), (warc.FOLDED, " "), (warc.BREAKS, "\n"), (warc.TAGS, "")):
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
     for entity, value in warc.ENTITIES:
         text = f"replace({text}, {quoted(entity)}, {quoted(value)})"
-    for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " "), ("^[ \\n]+|[ \\n]+$", "")):
+    for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " ")):
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
+    text = f"trim({text}, ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
 
     def uuid(h: str) -> str:
@@ -133,7 +131,8 @@ def warc_sql() -> str:
     return f"""
 WITH p AS (
   SELECT page_id AS source_id, url AS target_uri, coalesce(html, '') AS html,
-         sha256('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(url, '') || chr(10) || coalesce(html, '')) AS h
+         sha256('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(url, '') || chr(10)
+                || 'sha256:' || sha256(coalesce(html, ''))) AS h
   FROM pages),
 t AS (
   SELECT source_id, target_uri, {uuid('h')} AS refers_to, html, 'sha256:' || sha256(html) AS payload_digest, {text} AS body,

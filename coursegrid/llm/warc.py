@@ -32,19 +32,27 @@ LANGUAGE = "(?is)<html[^>]*?\\slang\\s*=\\s*[\"']?([A-Za-z0-9-]+)"
 LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?[^\"'\\s>]"
 
 
+def silent() -> str:
+    """Comments and silent elements, in one pass from left to right."""
+    return "(?is)<!--.*?-->" + "".join(f"|<{n}(?:\\s[^>]*)?>.*?</{n}\\s*>" for n in SILENT)
+
+
+#: Runs of white space other than a single blank.
+FOLDED = "[\\r\\n\\t][\\r\\n\\t ]*| [\\r\\n\\t ]+"
+BREAKS = f"(?i)</?(?:{'|'.join(BREAKING)})(?:[\\s/][^>]*)?>"
+TAGS = "</?[A-Za-z!][^>]*>"
+
+
 def cleaned(html: Column) -> Column:
     """Text lines of a page: no markup, entities resolved once, blanks folded, empty lines left out."""
-    text = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    for name in SILENT:
-        text = F.regexp_replace(text, f"(?is)<{name}(?:\\s[^>]*)?>.*?</{name}\\s*>", "")
-    text = F.regexp_replace(text, "[\\r\\n\\t ]+", " ")
-    text = F.regexp_replace(text, f"(?i)</?(?:{'|'.join(BREAKING)})(?:[\\s/][^>]*)?>", "\n")
-    text = F.regexp_replace(text, "</?[A-Za-z!][^>]*>", "")
+    text = html
+    for pattern, value in ((silent(), ""), (FOLDED, " "), (BREAKS, "\n"), (TAGS, "")):
+        text = F.regexp_replace(text, pattern, value)
     for entity, value in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(value))
-    text = F.regexp_replace(text, " *\\n[ \\n]*", "\n")
-    text = F.regexp_replace(text, " {2,}", " ")
-    return F.regexp_replace(text, "^[ \\n]+|[ \\n]+$", "")
+    for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " ")):
+        text = F.regexp_replace(text, pattern, value)
+    return F.btrim(text, F.lit(" \n"))
 
 
 def digest(text: Column) -> Column:
@@ -63,7 +71,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     html = F.coalesce(F.col(html_col), F.lit(""))
     return pages.select(
         F.col(id_col).alias("source_id"),
-        identifier(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit("")), html).alias("record_id"),
+        identifier(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit("")), digest(html)).alias("record_id"),
         F.col(url_col).alias("target_uri"),
         F.lit(None).cast("string").alias("date"),
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8").alias("http_headers"),
@@ -89,7 +97,7 @@ def derive(records: DataFrame) -> DataFrame:
         "date",
         "http_headers",
         F.coalesce("payload_digest", digest(payload)).alias("payload_digest"),
-        F.length(F.encode(payload, "utf-8")).cast("long").alias("payload_bytes"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
         cleaned(payload).alias("body"),
         F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), "\\s+", " ")).alias("title"),
         F.lower(F.regexp_extract(payload, LANGUAGE, 1)).alias("lang"),
@@ -141,7 +149,7 @@ def derive(records: DataFrame) -> DataFrame:
         F.col("http_headers").alias("source_headers"),
         "payload_digest",
         digest(block).alias("block_digest"),
-        F.length(F.encode(block, "utf-8")).cast("long").alias("content_length"),
+        F.octet_length(block).cast("long").alias("content_length"),
         block.alias("block"),
     )
 
