@@ -55,6 +55,16 @@ CAPACITY = _struct(
     ("section_capacity", _DBL),
 )
 
+
+
+def with_text_ids(schema: T.StructType) -> T.StructType:
+    """The layout with section ids that are texts."""
+    ids = ("course_section_id", "section_id")
+    return T.StructType(
+        [T.StructField(f.name, _STR if f.name in ids else f.dataType, True) for f in schema]
+    )
+
+
 # Course-year facts, long form: one row per course, year and section of the domain, and one
 # with a null section for all sections outside it, which has a capacity but no enrollment.
 FACTS = _struct(

@@ -5,37 +5,76 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from coursegrid.schemas import CAPACITY, FACTS, REGISTRATIONS, SECTION_DOMAIN, wide_schema
+from coursegrid.schemas import (
+    CAPACITY,
+    FACTS,
+    REGISTRATIONS,
+    SECTION_DOMAIN,
+    with_text_ids,
+    wide_schema,
+)
 
 CSV_OPTIONS = {"header": True, "nullValue": "NA", "quote": '"', "escape": '"'}
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns of a schema, found by their names in the header.
+
+    Other columns are ignored, a missing one is an error, as is a file whose header differs
+    from the first file's. A cell that is no value of its column's type is an error when the
+    row is read.
+    """
+    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    rows = spark.read.schema(texts).options(**CSV_OPTIONS, enforceSchema=False).csv(path)
+
+    def value(field: T.StructField):
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            return cell.alias(field.name)
+        parsed = cell.try_cast(field.dataType)
+        message = F.concat(
+            F.lit(f"{field.name}: not a value of type {field.dataType.simpleString()}: "), cell
+        )
+        failed = F.raise_error(message).cast(field.dataType)
+        return F.when(cell.isNotNull() & parsed.isNull(), failed).otherwise(parsed).alias(field.name)
+
+    return rows.select(*[value(field) for field in schema])
+
+
 def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
-    reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**CSV_OPTIONS)
-    return reader.format(fmt).load(path)
+        return read_csv(spark, path, schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
-def read_registrations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _read(spark, path, REGISTRATIONS, fmt)
+def read_registrations(
+    spark: SparkSession, path: str, fmt: str = "parquet", *, text_ids: bool = False
+) -> DataFrame:
+    """`text_ids`: the section ids are texts, not numbers."""
+    return _read(spark, path, with_text_ids(REGISTRATIONS) if text_ids else REGISTRATIONS, fmt)
 
 
-def read_capacity(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _read(spark, path, CAPACITY, fmt)
+def read_capacity(
+    spark: SparkSession, path: str, fmt: str = "parquet", *, text_ids: bool = False
+) -> DataFrame:
+    return _read(spark, path, with_text_ids(CAPACITY) if text_ids else CAPACITY, fmt)
 
 
-def write_facts(facts: DataFrame, path: str, *, files_per_year: int = 8) -> None:
+def write_facts(facts: DataFrame, path: str, *, rows_per_file: int = 5_000_000) -> None:
     """Long facts as Parquet, partitioned by reporting year so that year filters prune.
 
-    Rows of a year are spread over `files_per_year` files by course, so neither a year nor the
-    number of files becomes a bottleneck.
+    Spark brings the rows of a year together, in as many tasks as their measured size asks
+    for, and no file gets more than `rows_per_file` rows.
     """
-    spread = F.pmod(F.xxhash64("course"), F.lit(files_per_year))
-    facts.repartition("reporting_year", spread).write.mode("errorifexists").partitionBy(
-        "reporting_year"
-    ).parquet(path)
+    facts.hint("rebalance", "reporting_year").write.mode("errorifexists").option(
+        "maxRecordsPerFile", rows_per_file
+    ).partitionBy("reporting_year").parquet(path)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -63,19 +102,26 @@ def write_wide_csv(wide: DataFrame, path: str) -> None:
 def read_wide_csv(spark: SparkSession, path: str, sections=SECTION_DOMAIN) -> DataFrame:
     """Read the wide export; `NA` and empty texts are nulls."""
     schema = wide_schema(sections)
-    wide = _read(spark, path, schema, "csv")
+    wide = read_csv(spark, path, schema)
     texts = [f.name for f in schema if f.dataType.typeName() == "string"]
     return wide.withColumns({name: F.when(F.col(name) != "", F.col(name)) for name in texts})
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster.
+    """A new path in the shared folder of the cluster, removed when the session's JVM ends.
 
-    That folder is `spark.checkpoint.dir`; only where the session names none, as in local
-    tests, a temporary folder is used.
+    That folder is `spark.checkpoint.dir`. Only a session on this one machine may do without
+    and gets a temporary folder; elsewhere each executor would write to a disk of its own.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    folder = shared or tempfile.mkdtemp(prefix="coursegrid-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="coursegrid-")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

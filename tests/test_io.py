@@ -77,6 +77,70 @@ def test_wide_csv_reads_empty_text_as_null(spark, tmp_path):
     assert (row.course, row.subject, row.reporting_year, row.FA_01) == ('A, "B": C', None, 2014, None)
 
 
+def put(folder, name, *lines):
+    (folder / name).mkdir(parents=True, exist_ok=True)
+    path = folder / name / f"part-{len(list((folder / name).iterdir()))}.csv"
+    path.write_text("\n".join(lines) + "\n")
+    return str(folder / name)
+
+
+HEADER = "section_id,section_name,section_number,unnamed_5,section_capacity"
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path, registrar):
+    path = str(tmp_path / "wide")
+    wide = registrar.wide()
+    swapped = list(wide.columns)
+    a, b = swapped.index("FA_01"), swapped.index("SP_01")
+    swapped[a], swapped[b] = swapped[b], swapped[a]
+    io.write_wide_csv(wide.select("*").select(*swapped, F.lit("x").alias("other")), path)
+    same(io.read_wide_csv(spark, path), wide)
+
+
+def test_csv_without_a_column_is_refused(spark, tmp_path):
+    path = put(tmp_path, "c", "section_id,section_name,section_number,unnamed_5", "1,a,01,")
+    with pytest.raises(ValueError, match="section_capacity"):
+        io.read_capacity(spark, path, "csv")
+
+
+def test_csv_files_with_different_headers_are_refused(spark, tmp_path):
+    put(tmp_path, "c", HEADER, "1,a,01,,30")
+    other = "section_name,section_id,section_number,unnamed_5,section_capacity"
+    path = put(tmp_path, "c", other, "a,2,01,,30")
+    with pytest.raises(Exception, match="header"):
+        io.read_capacity(spark, path, "csv").collect()
+
+
+@pytest.mark.parametrize("cells", ["1,a,01,,30 seats", "STAT-113-01-14FA,a,01,,30"])
+def test_csv_cells_that_are_no_numbers_are_refused(spark, tmp_path, cells):
+    path = put(tmp_path, "c", HEADER, "7,a,01,,NA", cells)
+    with pytest.raises(Exception, match="not a value of type"):
+        io.read_capacity(spark, path, "csv").collect()
+
+
+def test_text_section_ids(spark, tmp_path):
+    capacity = io.read_capacity(
+        spark, put(tmp_path, "c", HEADER, "STAT-113-01-14FA,a,01,,30", "other,b,02,,9"), "csv", text_ids=True
+    )
+    rows = golden.registrations(spark).limit(1)
+    texts = rows.withColumn("course_section_id", F.lit("STAT-113-01-14FA"))
+    texts.write.options(**io.CSV_OPTIONS).csv(str(tmp_path / "r"))
+    stored = io.read_registrations(spark, str(tmp_path / "r"), "csv", text_ids=True)
+    cleaned = clean.clean_registrations(
+        stored, clean.normalize_capacity(capacity), regular_only=False, collapse=True
+    )
+    assert [r.section_capacity for r in cleaned.collect()] == [30.0]
+
+
+def test_a_year_is_not_bound_to_a_number_of_files(spark, tmp_path, registrar):
+    years = registrar.facts.filter("reporting_year = 2014")
+    many = years.crossJoin(spark.range(3000)).select(*FACTS.fieldNames())
+    io.write_facts(many, str(tmp_path / "facts"), rows_per_file=2000)
+    files = list((tmp_path / "facts" / "reporting_year=2014").glob("*.parquet"))
+    assert len(files) >= many.count() / 2000
+    assert io.read_facts(spark, str(tmp_path / "facts")).count() == many.count()
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert io.scratch_path(spark, "x").startswith(shared)
