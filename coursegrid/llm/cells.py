@@ -27,12 +27,12 @@ def chunk_of(id_col: Column, text: Column, chunks: int) -> Column:
     return F.pmod(F.coalesce(F.when(id_col.isNotNull(), F.xxhash64(id_col)), F.xxhash64(text)), F.lit(chunks)).cast("int")
 
 
-def dealt(texts: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """`chunk, id, text`, and the number of chunks."""
+def dealt(texts: DataFrame, id_col: str, text_col: str, *more: str) -> tuple[DataFrame, int]:
+    """`chunk, id, text` and more columns, and the number of chunks."""
     chunks = max(1, PER_PARTITION * partitions(texts.sparkSession))
     text = F.coalesce(F.col(text_col), F.lit(""))
     chunk = chunk_of(F.col(id_col), text, chunks)
-    return texts.select(chunk.alias("chunk"), F.col(id_col).alias("id"), text.alias("text")), chunks
+    return texts.select(chunk.alias("chunk"), F.col(id_col).alias("id"), text.alias("text"), *more), chunks
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -4,12 +4,15 @@
    are kept, packed into four integers. Rows and bands follow from the threshold: the most rows per band with which a pair at
    the threshold is missed with a probability of at most `MISS`.
 2. Documents with equal sets form one class, named by its smallest id; only classes go on.
-3. Classes that share a band key are candidates. All are first compared with the smallest of the key. Two classes that are
-   already in one component need no comparison, so the members of a family of copies meet one another only once. For keys
-   whose members are still in several components, members are compared with 8, then 64, 512, ... of the key, until every
-   pair of different components of the key has been compared. No pair of a key is left out, and no key's pairs are all listed.
-4. A candidate's similarity is estimated from equal low bits, corrected for equality by chance; pairs more than `MARGIN`
-   below the threshold are dropped (over six standard deviations), inside the join. The rest is confirmed on the full sets.
+3. Classes that share a band key are candidates. All are first compared with one class of the key, the one that shares
+   the most keys with others, which in a family of copies is close to the original. A similarity is estimated from
+   equal low bits, corrected for equality by chance; pairs more than `MARGIN` below the threshold (over six standard
+   deviations) are dropped inside the join, the rest is confirmed on the full sets.
+4. Two classes that are already in one component need no comparison. For keys whose classes are still in several
+   components, the pairs of different components that could reach the threshold are found without listing pairs: a pair at
+   the threshold must share a shingle among the rarest few of either set, at places that leave room for enough common ones
+   (prefix and position filter). Shingles are counted over all these classes, and pairs confirmed on the full sets. Nothing
+   is capped; in a family of copies few pairs are left here.
 5. Components come from the confirmed links (`components`).
 
 Sketches are read once from the texts. Texts travel again only for classes that share a key.
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursegrid.llm import words
+from coursegrid.llm import cells, words
 from coursegrid.llm.components import components
 from coursegrid.llm.shared import settled
 
@@ -126,27 +129,99 @@ def _sketches(size: int, rows: int):
 
 
 def _confirmed(size: int, threshold: int):
-    """Pairs whose full sets reach the threshold, in hundredths."""
-
-    def set_of(text: str) -> np.ndarray:
-        return next(shingle_sets(b, size)[0] for b in _blocks(pa.array([text])))
+    """Pairs whose full sets reach the threshold, in hundredths. Pairs of one `text_a` come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
         for batch in batches:
-            links = []
-            for a, b in zip(batch.column("text_a"), batch.column("text_b")):
-                a, b = a.as_py(), b.as_py()
-                if a != held:
-                    held, own = a, set_of(a)
-                other = set_of(b)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                links.append(100 * common >= threshold * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v")], names=["u", "v"]).filter(pa.array(links))
+            links, first = [], batch.column("text_a")
+            for block in _blocks(batch.column("text_b")):
+                for i, other in zip(block.rows, shingle_sets(block, size)):
+                    if held is None or not first[i].equals(held):
+                        held = first[i]
+                        own = next(shingle_sets(b, size)[0] for b in _blocks(first.slice(i, 1)))
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    links.append(100 * common >= threshold * (len(own) + len(other) - common))
+            pairs = pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v")], names=["u", "v"])
+            yield pairs.filter(pa.array(links, pa.bool_()))
 
     return run
 
 
+def _sets(texts, size: int) -> list[np.ndarray]:
+    return [s for block in _blocks(texts) for s in shingle_sets(block, size)]
+
+
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
+
+
+def _send(size: int, buckets: int):
+    """A chunk's different shingles with the number of its sets that have them, in cells."""
+
+    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, counts = _counted(_sets(table.column("text"), size))
+        at = cells.cuts(keys, buckets)
+        full = np.flatnonzero(np.diff(at))
+        return pa.table(
+            {
+                "chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
+                "bucket": pa.array(full, pa.int32()),
+                "keys": pa.array([cells.packed(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
+                "counts": pa.array([cells.planes(counts[at[b] : at[b + 1]]) for b in full], pa.binary()),
+            }
+        )
+
+    return send
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The totals of a bucket's shingles, for each cell in its order."""
+    keys = [cells.unpacked(c.as_py()) for c in table.column("keys")]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([cells.numbers(c.as_py()) for c in table.column("counts")])
+    totals = np.bincount(place, counts, len(every)).astype(np.int64)
+    cut = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    return pa.table(
+        {
+            "chunk": table.column("chunk"),
+            "bucket": table.column("bucket"),
+            "totals": pa.array([cells.squeezed(totals[p]) for p in cut], pa.binary()),
+        }
+    )
+
+
+def _prefixes(size: int, threshold: int, buckets: int):
+    """Of each set, the rarest shingles that others have too, as many as a partner at the threshold must meet."""
+
+    def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sets = _sets(table.column("text"), size)
+        keys, _ = _counted(sets)
+        at, totals = cells.cuts(keys, buckets), np.zeros(len(keys), np.int64)
+        for b, t in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()):
+            totals[at[b] : at[b + 1]] = cells.unsqueezed(t)
+        row, token, place = [], [], []
+        for i, own in enumerate(sets):
+            df = totals[np.searchsorted(keys, own)]
+            order = np.lexsort((own, df))[: len(own) - -(-threshold * len(own) // 100) + 1]
+            shared = np.flatnonzero(df[order] > 1)
+            row.append(np.full(len(shared), i))
+            token.append(own[order[shared]])
+            place.append(shared)
+        rows = pa.array(np.concatenate([np.zeros(0, np.int64), *row]).astype(np.int64))
+        return pa.table(
+            {
+                "token": pa.array(np.concatenate([np.zeros(0, U64), *token]).view(np.int64)),
+                "place": pa.array(np.concatenate([np.zeros(0, np.int64), *place]).astype(np.int64)),
+                "n": pa.array([len(s) for s in sets], pa.int64()).take(rows),
+                "id": table.column("id").take(rows),
+                "comp": table.column("comp").take(rows),
+            }
+        )
+
+    return prefixes
+
+
 def _similar(a: str, b: str) -> Column:
     """Similarity of two packed signatures, corrected for lanes that are equal by chance."""
     even = F.lit(0x5555555555555555)
@@ -206,62 +281,78 @@ def _members(classes: DataFrame) -> DataFrame:
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
         .filter("low < high")
     )
-    near = keyed.join(shared.select("key", "low", "size"), "key")
+    near = keyed.join(shared.select("key", "size"), "key")
     about = classes.select("id", "n", *SIGNATURE)
-    return near.join(about, "id").withColumn("turn", _turn("id", "key"))
+    weight = near.groupBy("id").agg(F.sum("size").alias("weight"))
+    return near.select("key", "id").join(weight, "id").join(about, "id")
+
+
+def _links(pairs: DataFrame, shelf: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
+    """The pairs `u, v` that reach the threshold. The texts of `u`, which may be in many pairs, come last, next to them."""
+    with_v = pairs.join(shelf.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v")
+    both = with_v.join(shelf.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
+    return settled(both.mapInArrow(_confirmed(shingle, threshold), f"u {kind}, v {kind}"))
+
+
+def _near_pivots(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of the central class of each key with the others of the key that may reach the threshold."""
+    about = ("n", *SIGNATURE)
+    central = members.groupBy("key").agg(F.max(F.struct("weight", "id", *about)).alias("p"))
+    p = central.select("key", "p.*").alias("p")
+    low, high = F.least("p.n", "m.n"), F.greatest("p.n", "m.n")
+    near = (
+        (F.col("p.key") == F.col("m.key"))
+        & (F.col("p.id") != F.col("m.id"))
+        & (100 * low >= threshold * high)
+        & (_similar("p", "m") >= threshold / 100 - MARGIN)
+    )
+    return p.join(members.alias("m"), near).select(F.col("p.id").alias("u"), F.col("m.id").alias("v")).distinct()
 
 
-def _turn(*cols: str) -> Column:
-    """A number from 0 to 1 that follows from the values."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / float(1 << 52)
+def _crossing(open_: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
+    """Pairs of different components among `id, text, comp` that may reach the threshold."""
+    chunks, count = cells.dealt(open_, "id", "text", "comp")
+    answers = (
+        chunks.groupBy("chunk")
+        .applyInArrow(_send(shingle, count), "chunk int, bucket int, keys binary, counts binary")
+        .groupBy("bucket")
+        .applyInArrow(_add, "chunk int, bucket int, totals binary")
+    )
+    rows = settled(
+        chunks.groupBy("chunk")
+        .cogroup(answers.groupBy("chunk"))
+        .applyInArrow(_prefixes(shingle, threshold, count), f"token long, place long, n long, id {kind}, comp {kind}")
+    )
+    # The largest component of a token meets the others only, so its rows are not paired with one another.
+    by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    main = by_comp.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("comps"))
+    mixed = rows.join(main.filter("comps > 1").select("token", F.col("m.comp").alias("main")), "token")
+    a, b = mixed.filter("comp <> main").alias("a"), mixed.alias("b")
+    # Least number of common shingles of two sets of these sizes that reaches the threshold.
+    common = F.ceil(F.lit(threshold) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + threshold) - F.lit(1e-9))
+    near = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.comp") != F.col("b.comp"))
+        & (F.col("a.n") - F.col("a.place") >= common)
+        & (F.col("b.n") - F.col("b.place") >= common)
+        & (100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
+    )
+    return a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
 def _labels(texts: DataFrame, members: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
     """`node, root` of all classes that are linked with a smaller one."""
     wanted = members.select("id").distinct()
     shelf = settled(texts.join(wanted, "id").select("id", "text"))
-    links = None
-    most = members.agg(F.max("size")).first()[0] or 0
-    labels = _empty(members, kind)
-    start, stop = None, 0
-    while True:
-        named = members.join(labels, F.col("id") == F.col("node"), "left").select(
-            *members.columns, F.coalesce("root", "id").alias("comp")
-        )
-        if start is None:  # the smallest member of each key
-            pivots = named.filter("id = low")
-            free = named
-        else:
-            open_keys = (
-                named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-            )
-            named = settled(named.join(open_keys, "key", "left_semi"))
-            if named.isEmpty():
-                return labels
-            place = F.col("turn") * F.col("size")
-            free = named.filter(place >= start)
-            pivots = free.filter(place < stop)
-        p, m = pivots.alias("p"), free.alias("m")
-        low, high = F.least("p.n", "m.n"), F.greatest("p.n", "m.n")
-        near = (
-            (F.col("p.key") == F.col("m.key"))
-            & (F.col("p.comp") != F.col("m.comp"))
-            & (100 * low >= threshold * high)
-            & (_similar("p", "m") >= threshold / 100 - MARGIN)
-        )
-        pairs = p.join(m, near).select(F.col("p.id").alias("u"), F.col("m.id").alias("v")).distinct()
-        with_b = pairs.join(shelf.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v")
-        both = with_b.join(shelf.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
-        confirmed = settled(both.mapInArrow(_confirmed(shingle, threshold), f"u {kind}, v {kind}"))
-        links = confirmed if links is None else settled(links.unionByName(confirmed))
-        labels = components(links)
-        if start is not None and stop >= most:
-            return labels
-        start, stop = (0, 8) if start is None else (stop, stop * 8)
-
-
-def _empty(members: DataFrame, kind: str) -> DataFrame:
-    return members.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+    links = _links(_near_pivots(members, threshold), shelf, kind, shingle, threshold)
+    labels = components(links)
+    named = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
+    named = named.select("key", "id", F.coalesce("root", "id").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
+    open_ = named.join(mixed, "key", "left_semi").select("id", "comp").distinct()
+    pairs = _crossing(shelf.join(open_, "id"), kind, shingle, threshold)
+    more = _links(pairs, shelf, kind, shingle, threshold)
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def clean(documents: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
