@@ -24,11 +24,16 @@ def collapse_capacity(capacity: DataFrame) -> DataFrame:
     """One row per section id: number of records and their summed capacity.
 
     Joining this form keeps a registration row single where an id has many capacity records.
+    Grouping by the id and its hash, and not by the id alone, makes Spark deal the collapsed
+    rows out once more for the join. They are few, and only a join directly over two such
+    exchanges lets the adaptive planner split a section id with very many registrations.
     """
-    return capacity.groupBy("course_section_id").agg(
+    own = "course_section_id"
+    collapsed = capacity.groupBy(own, F.xxhash64(own).alias("_spread")).agg(
         F.count(F.lit(1)).alias("capacity_records"),
         F.sum("section_capacity").alias("section_capacity"),
     )
+    return collapsed.drop("_spread")
 
 
 def join_capacity(registrations: DataFrame, capacity: DataFrame) -> DataFrame:
@@ -83,6 +88,29 @@ def unite_course(rows: DataFrame) -> DataFrame:
     ).drop("course_name", "course_title")
 
 
+def _possible_titles(course):
+    """Texts that may be the title in `name: title`, where both may contain the separator."""
+    pieces = F.split(course, ": ")
+    starts = F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2)))
+    later = F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ": "))
+    return F.when(F.size(pieces) > 1, later).otherwise(F.array().cast("array<string>"))
+
+
+def filter_titles(registrations: DataFrame, courses) -> DataFrame:
+    """Keep the titles of the chosen courses, given by name or as a table with a `course`.
+
+    Cross-list pools share a title, so the facts of a chosen course are the same without the
+    other titles. A missing title is written `NA` in a course and kept with that choice.
+    """
+    title = F.coalesce("course_title", F.lit("NA"))
+    if isinstance(courses, DataFrame):
+        titles = courses.select(F.explode(_possible_titles(F.col("course"))).alias("_title"))
+        return registrations.join(titles.distinct(), title == F.col("_title"), "left_semi")
+    pieces = [course.split(": ") for course in courses]
+    titles = {": ".join(p[i:]) for p in pieces for i in range(1, len(p))}
+    return registrations.filter(title.isin(sorted(titles)))
+
+
 def clean_registrations(
     registrations: DataFrame,
     capacity: DataFrame,
@@ -90,15 +118,24 @@ def clean_registrations(
     subjects=None,
     regular_only: bool = True,
     excluded_terms=(),
+    courses=None,
+    excluded_years=(),
     collapse: bool = False,
 ) -> DataFrame:
     """Section rows in scope, with capacity and with the section key.
 
-    The filters run on the registrations before the join. With `collapse`, a section id with
+    The filters run on the registrations before the join. With `courses` or `excluded_years`
+    only rows that facts of those courses and the other years need are read; questions still
+    choose among the facts. With `collapse`, a section id with
     many capacity records gives one row with their number and sum instead of many rows; the
     facts come out the same and no id can multiply rows.
     """
     rows = exclude_input_terms(registrations, excluded_terms)
+    if courses is not None:
+        rows = filter_titles(rows, courses)
+    known_year = excluding(F.col("reporting_year"), excluded_years)
+    if known_year is not None:
+        rows = rows.filter(known_year)
     if regular_only:
         rows = filter_regular(rows)
     if subjects is not None:

@@ -16,6 +16,10 @@ from coursegrid.operators.facts import course_years, sections_in_year
 
 LABEL_OFFSET = 5
 
+# How the chart titles begin.
+ENROLLMENT_TITLE = "Enrollment for "
+CAPACITY_TITLE = "Course Capacity for "
+
 
 def choose(rows: DataFrame, courses) -> DataFrame:
     """Keep the chosen courses: names, a predicate on `course`, or a table with that column."""
@@ -104,9 +108,12 @@ def semester_long(facts: DataFrame, *, raw_terms: bool = False) -> DataFrame:
     )
 
 
-def offered_terms(facts: DataFrame, courses=None, *, excluded_terms=()) -> DataFrame:
+def offered_terms(
+    facts: DataFrame, courses=None, *, excluded_terms=(), raw_terms: bool = False
+) -> DataFrame:
     """Course-terms with enrollment, with section count, average size and order columns."""
-    terms = course_terms(choose(facts, courses)).filter(F.col("semester_enrolled") != 0)
+    terms = course_terms(choose(facts, courses), raw_terms=raw_terms)
+    terms = terms.filter(F.col("semester_enrolled") != 0)
     year, semester = F.col("year"), F.col("semester")
     return drop_values(terms, "term", excluded_terms).withColumns(
         {
@@ -117,9 +124,16 @@ def offered_terms(facts: DataFrame, courses=None, *, excluded_terms=()) -> DataF
     )
 
 
-def course_semester(facts: DataFrame, courses=None, *, excluded_terms=()) -> DataFrame:
-    """Enrollment, section count and average section size per course and term."""
-    return offered_terms(facts, courses, excluded_terms=excluded_terms).select(
+def course_semester(
+    facts: DataFrame, courses=None, *, excluded_terms=(), raw_terms: bool = False
+) -> DataFrame:
+    """Enrollment, section count and average section size per course and term.
+
+    `raw_terms` labels and orders the terms by reporting year, as the older notebooks do.
+    """
+    return offered_terms(
+        facts, courses, excluded_terms=excluded_terms, raw_terms=raw_terms
+    ).select(
         "course", "term", "term_key", "year", "semester", "term_order", "semester_enrolled",
         "total_sections", "avg_section",
     )
@@ -155,12 +169,13 @@ def cumulative_sections(facts: DataFrame, courses=None, *, excluded_terms=()) ->
 def section_marks(facts: DataFrame, courses=None, *, excluded_terms=()) -> DataFrame:
     """Cumulative marks with label position and chart title."""
     marks = cumulative_sections(facts, courses, excluded_terms=excluded_terms)
-    return marks.withColumns(
-        {
-            "label_y": F.col("cumulative_enrolled") - LABEL_OFFSET,
-            "title": F.concat(F.lit("Enrollment for "), "course"),
-        }
-    )
+    placed = marks.withColumn("label_y", F.col("cumulative_enrolled") - LABEL_OFFSET)
+    return titled(placed, ENROLLMENT_TITLE)
+
+
+def titled(rows: DataFrame, prefix: str, of: Column | None = None) -> DataFrame:
+    """Add the chart title: the prefix and the course, or another text."""
+    return rows.withColumn("title", F.concat(F.lit(prefix), F.col("course") if of is None else of))
 
 
 def preview(wide: DataFrame, rows: int = 6, columns: int = 5) -> DataFrame:

@@ -39,6 +39,20 @@ def discipline_by_level(
     return _by_level(facts, subjects, F.col("course_level"), excluded_terms, excluded_years)
 
 
+def axis_limits(
+    facts: DataFrame, subjects, *, excluded_terms=(), excluded_years=()
+) -> DataFrame:
+    """Largest enrollment of a level and year, first and last year of the chart."""
+    levels = discipline_by_level(
+        facts, subjects, excluded_terms=excluded_terms, excluded_years=excluded_years
+    )
+    return levels.agg(
+        F.max("enrolled").alias("max_enrolled"),
+        F.min("reporting_year").alias("first_year"),
+        F.max("reporting_year").alias("last_year"),
+    )
+
+
 def discipline_derived_level(
     facts: DataFrame, subjects, *, max_level: int = 3, excluded_terms=(), excluded_years=()
 ) -> DataFrame:

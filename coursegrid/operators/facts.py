@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coursegrid.functions.nulls import none_if_zero, paste, sum_known
 from coursegrid.functions.terms import FALL, SPRING, key_piece, term_label
+from coursegrid.operators.clean import unite_course
 from coursegrid.operators.totals import with_group_totals
 from coursegrid.schemas import FACTS, SECTION_DOMAIN, wide_schema
 
@@ -72,8 +73,20 @@ def course_year_facts(rows: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
     section sums; a course-year has at most one collapsed row per section, cross-list flag and
     attribute combination there.
     """
+    return facts_and_years(rows, sections)[0]
+
+
+def facts_and_years(rows: DataFrame, sections=SECTION_DOMAIN) -> tuple[DataFrame, DataFrame]:
+    """The facts, and the reporting years of all rows from the same collapsed rows.
+
+    A question that needs both, like a gap-filled axis, scans the registrations once.
+    """
     sums = [F.sum(m).alias(m) for m in ("n_rows", "n_unknown", "enrolled", "capacity")]
     collapsed = section_totals(rows, sections).observe(f"section_totals_{uuid.uuid4().hex}", *sums)
+    return _facts(collapsed), collapsed.select("reporting_year").distinct()
+
+
+def _facts(collapsed: DataFrame) -> DataFrame:
     totals = pool_section_totals(collapsed)
     united = totals.withColumn("course", paste(": ", F.col("course_name"), F.col("course_title")))
     by_course = united.repartition("course", "reporting_year")
@@ -99,6 +112,18 @@ def course_year_facts(rows: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
     ).select(*FACTS.fieldNames())
 
 
+def attribute_conflicts(rows: DataFrame) -> DataFrame:
+    """Course-years whose rows differ in subject, number or level, with the number of values.
+
+    The facts take the smallest known value there; this tells where that choice mattered.
+    """
+    values = [F.collect_set(F.coalesce(F.col(a).cast("string"), F.lit("NA"))) for a in ATTRIBUTES]
+    years = unite_course(rows).groupBy("course", "reporting_year").agg(
+        *[F.size(v).alias(f"{a}_values") for v, a in zip(values, ATTRIBUTES)]
+    )
+    return years.filter(" OR ".join(f"{a}_values > 1" for a in ATTRIBUTES))
+
+
 def _where(condition: Column, value: str) -> Column:
     return sum_known(F.when(condition, F.col(value)))
 

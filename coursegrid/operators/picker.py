@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursegrid.functions.nulls import half_even, ratio
-from coursegrid.operators.courses import section_terms
+from coursegrid.functions.nulls import half_even, none_if_zero, ratio
+from coursegrid.functions.terms import FALL, SPRING, calendar_year, term_label
+from coursegrid.operators.courses import drop_values, section_terms
 from coursegrid.operators.facts import course_years, sections_in_year
 
 # Sorts the null year after all others, as the facts are read in course and year order.
@@ -54,6 +55,33 @@ def total_capacity(facts: DataFrame, excluded_terms=()) -> DataFrame:
     )
 
 
+def total_capacity_terms(facts: DataFrame, excluded_terms=()) -> DataFrame:
+    """Average capacity of the year times number of sections per course and term offered."""
+    halves = [
+        F.struct(
+            F.lit(semester).alias("semester"),
+            F.col(f"{half}_enrolled").alias("semester_enrolled"),
+            none_if_zero(F.col(f"{half}_sections")).alias("term_sections"),
+        )
+        for semester, half in ((FALL, "fall"), (SPRING, "spring"))
+    ]
+    terms = (
+        _rated_years(facts, excluded_terms)
+        .select("course", "reporting_year", "avg_capacity", F.inline(F.array(*halves)))
+        .filter(F.col("semester_enrolled") != 0)
+        .withColumn("term", term_label(F.col("reporting_year"), F.col("semester")))
+    )
+    return drop_values(terms, "term", excluded_terms).select(
+        "course",
+        "term",
+        calendar_year(F.col("reporting_year"), F.col("semester")).alias("year"),
+        "semester_enrolled",
+        "avg_capacity",
+        F.col("term_sections").alias("total_sections"),
+        (F.col("avg_capacity") * F.col("term_sections")).alias("total_capacity"),
+    )
+
+
 def section_weighted_capacity(facts: DataFrame, excluded_terms=()) -> DataFrame:
     """Average capacity per course in which a year counts once per section.
 
@@ -105,8 +133,14 @@ def rated_courses(facts: DataFrame, excluded_terms=()) -> DataFrame:
 def course_picker(
     facts: DataFrame, subject: str, *, min_capacity=6, min_years=3, excluded_terms=()
 ) -> DataFrame:
-    """Courses of a subject by average capacity and number of years offered."""
-    return rated_courses(facts, excluded_terms).filter(
+    """Courses of a subject by average capacity and number of years offered.
+
+    Only courses with the subject in some row are rated. On stored facts that first look reads
+    two columns, and its filter reaches the scan.
+    """
+    of_subject = facts.filter(F.col("subject") == subject).select("course").distinct()
+    candidates = facts.join(of_subject, "course", "left_semi")
+    return rated_courses(candidates, excluded_terms).filter(
         (F.col("full_avg_capacity") >= min_capacity)
         & (F.col("subject") == subject)
         & (F.col("total_years_offered") >= min_years)

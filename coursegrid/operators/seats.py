@@ -16,6 +16,9 @@ from coursegrid.operators.spines import term_spine, year_spine
 from coursegrid.schemas import MEASURES
 
 
+# The texts of the full flag and of the seat classes in the functions below.
+
+
 def full_flag(enrolled: Column, capacity: Column, sections: Column) -> Column:
     """Full when over capacity or within one seat per section of it."""
     within = (enrolled >= capacity - sections) & (enrolled <= capacity)
@@ -119,27 +122,42 @@ def completed_terms(facts: DataFrame, courses, *, excluded_terms=(), years=None)
 
 
 def completed_years(
-    facts: DataFrame, courses, *, excluded_terms=(), excluded_years=(), years=None
+    facts: DataFrame,
+    courses,
+    *,
+    excluded_terms=(),
+    excluded_years=(),
+    years=None,
+    own_range: bool = False,
 ) -> DataFrame:
-    """The chosen courses over all years from the first to the last; gaps have nulls."""
+    """The chosen courses over all years from the first to the last; gaps have nulls.
+
+    The years are those of `years` or of the facts; with `own_range` each course has those
+    from its own first to its own last. A chosen course without facts has no rows.
+    """
     yearly = course_yearly(facts, courses, excluded_terms=excluded_terms)
-    spine = year_spine(facts if years is None else years)
+    spine = None if own_range else year_spine(facts if years is None else years)
     full = _complete(yearly, F.col("reporting_year").isNotNull(), spine, "reporting_year")
     return drop_values(full, "reporting_year", excluded_years)
 
 
-def _complete(rows: DataFrame, present: Column, spine: DataFrame, axis: str) -> DataFrame:
+def _complete(rows: DataFrame, present: Column, spine: DataFrame | None, axis: str) -> DataFrame:
     """Every course of the rows with every value of the spine, with nulls where no row is present.
 
-    A course has at most one row per axis value, so its rows become one short map, which is
+    Without a spine, every whole number from the course's smallest to its largest. A course has at most one row per axis value, so its rows become one short map, which is
     looked up for each value: one pass over the rows and no join.
     """
     measures = [c for c in rows.columns if c not in ("course", axis)]
     entry = F.when(present, F.struct(axis, F.struct(*measures)))
-    values = spine.agg(F.array_sort(F.collect_set(axis))).scalar()
     per_course = rows.groupBy("course").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_known")
+        F.map_from_entries(F.collect_list(entry)).alias("_known"),
+        F.min(axis).alias("_first"),
+        F.max(axis).alias("_last"),
     )
+    if spine is None:
+        values = F.when(F.col("_first").isNotNull(), F.sequence("_first", "_last"))
+    else:
+        values = spine.agg(F.array_sort(F.collect_set(axis))).scalar()
     grid = per_course.select("course", F.explode(values).alias(axis), "_known")
     found = F.try_element_at("_known", F.col(axis)).alias("_found")
     return grid.select("course", axis, found).select("course", axis, "_found.*")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursegrid.functions.terms import FALL, SPRING, calendar_year, term_key, term_label
-from coursegrid.operators.courses import offered_terms
+from coursegrid.operators.courses import choose, offered_terms
+from coursegrid.operators.facts import course_years
 
 
 def term_spine(facts: DataFrame, *, raw_terms: bool = False) -> DataFrame:
@@ -57,6 +58,29 @@ def year_spine(facts: DataFrame) -> DataFrame:
     )
 
 
+def axis_limits(
+    facts: DataFrame, courses=None, *, excluded_terms=(), excluded_years=()
+) -> DataFrame:
+    """Largest enrollment in a year and in a term, first and last year, in one pass.
+
+    Over the chosen courses, or all. Excluded years and terms do not count for the largest
+    enrollments; with nothing chosen that has facts, all limits are null.
+    """
+    halves = []
+    for semester, half in ((FALL, "fall_enrolled"), (SPRING, "spring_enrolled")):
+        term = term_label(F.col("reporting_year"), F.lit(semester))
+        kept = ~term.isin(list(excluded_terms)) if excluded_terms else F.lit(True)
+        halves.append(F.when(kept, F.col(half)))
+    year = F.col("reporting_year")
+    kept_year = ~year.isin(list(excluded_years)) if excluded_years else F.lit(True)
+    return course_years(choose(facts, courses)).agg(
+        F.max(F.when(kept_year, F.col("yearly_enrolled"))).alias("max_yearly_enrolled"),
+        F.max(F.greatest(*halves)).alias("max_semester_enrolled"),
+        F.min(year).alias("first_year"),
+        F.max(year).alias("last_year"),
+    )
+
+
 def distinct_subjects(facts: DataFrame) -> DataFrame:
     return facts.select("subject").distinct()
 

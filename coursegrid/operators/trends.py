@@ -8,11 +8,14 @@ from coursegrid.operators.clean import filter_subjects, split_input_term
 
 
 def title_term(registrations: DataFrame, subjects=None) -> DataFrame:
-    """Enrollment per title and input term; null where one enrollment is unknown."""
+    """Enrollment per title and input term; null where one enrollment is unknown.
+
+    A title term with several reporting years has the latest known one.
+    """
     rows = registrations if subjects is None else filter_subjects(registrations, subjects)
     return rows.groupBy("course_title", "acad_year_term").agg(
         sum_all(F.col("enrolled")).alias("enrolled"),
-        F.min("reporting_year").alias("reporting_year"),
+        F.max("reporting_year").alias("reporting_year"),
     )
 
 

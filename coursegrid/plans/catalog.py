@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coursegrid.functions.nulls import paste
 from coursegrid.operators import (
     clean,
     courses,
@@ -25,6 +26,8 @@ EXCLUDED_YEARS = (1998,)
 SUBJECT = "STANDARD"
 SUBJECTS = ("STANDARD", "PROMO", "SMALL", "LARGE")
 TITLE = "blue anvil"
+# Courses chosen by name; the names are those of parts, so some of them are missing in small tables.
+COURSES = tuple(f"{s}-{n}: {TITLE}" for s in ("PROMO", "STANDARD") for n in range(110, 510, 10))
 CODE = "PROMO-1[0-9]0"
 COURSE_ID = 96
 
@@ -32,16 +35,11 @@ TERMS = {"excluded_terms": EXCLUDED_TERMS}
 TERMS_AND_YEARS = {"excluded_terms": EXCLUDED_TERMS, "excluded_years": EXCLUDED_YEARS}
 
 
-def chosen():
-    """The chosen courses: all with the chosen title."""
-    return F.col("course").endswith(f": {TITLE}")
-
-
 class Tables:
     """The given tables as registrations, and the stages derived from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark, self.folder = spark, folder
         self.registrations = demo.registrations(spark, folder)
         self.raw_capacity = demo.capacity(spark, folder)
 
@@ -67,6 +65,30 @@ class Tables:
     def facts(self) -> DataFrame:
         return facts.course_year_facts(self.rows(collapse=True))
 
+    @property
+    def facts_and_years(self) -> tuple[DataFrame, DataFrame]:
+        """The facts and the reporting years of their rows, from one scan."""
+        return facts.facts_and_years(self.rows(collapse=True))
+
+    def facts_of(self, courses=None, excluded_years=()) -> DataFrame:
+        """Facts from no more rows than questions about some courses or years need."""
+        rows = clean.clean_registrations(
+            self.registrations,
+            self.capacity,
+            excluded_terms=EXCLUDED_INPUT_TERMS,
+            courses=courses,
+            excluded_years=excluded_years,
+            collapse=True,
+        )
+        return facts.course_year_facts(rows)
+
+    @property
+    def chosen(self) -> DataFrame:
+        """The chosen courses as a table: all with the chosen title."""
+        return demo.courses(self.spark, self.folder).filter(F.col("course_title") == TITLE).select(
+            paste(": ", F.col("course_name"), F.col("course_title")).alias("course")
+        )
+
     @property
     def subject_facts(self) -> DataFrame:
         """The older profile: a few subjects, all schedule types and terms."""
@@ -85,21 +107,10 @@ class Tables:
         return io.read_wide_csv(self.spark, path)
 
 
-def axis_limits(t: Tables) -> DataFrame:
-    """Largest course-year and course-term enrollment, first and last year, in one pass."""
-    years = facts.course_years(t.facts)
-    halves = []
-    for semester, half in (("FA", "fall_enrolled"), ("SP", "spring_enrolled")):
-        term = courses.term_label(F.col("reporting_year"), F.lit(semester))
-        halves.append(F.when(~term.isin(list(EXCLUDED_TERMS)), F.col(half)))
-    return years.agg(
-        F.max(
-            F.when(~F.col("reporting_year").isin(list(EXCLUDED_YEARS)), F.col("yearly_enrolled"))
-        ).alias("max_yearly_enrolled"),
-        F.max(F.greatest(*halves)).alias("max_semester_enrolled"),
-        F.min("reporting_year").alias("first_year"),
-        F.max("reporting_year").alias("last_year"),
-    )
+def over_all_years(t: Tables, question, excluded: dict) -> DataFrame:
+    """A gap-filled question on the chosen courses over the years of all rows."""
+    table, years = t.facts_and_years
+    return question(table, t.chosen, years=years, **excluded)
 
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -144,47 +155,70 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "cumulative_sections": lambda t: courses.cumulative_sections(t.facts, **TERMS),
     "section_marks": lambda t: courses.section_marks(t.facts, **TERMS),
     # enrollment by course
-    "course_yearly": lambda t: courses.course_yearly(t.facts, **TERMS_AND_YEARS),
+    "course_yearly": lambda t: courses.course_yearly(
+        t.facts_of(excluded_years=EXCLUDED_YEARS), **TERMS_AND_YEARS
+    ),
     "course_semester": lambda t: courses.course_semester(t.facts, **TERMS),
-    "course_semester_selected": lambda t: courses.course_semester(t.facts, chosen(), **TERMS),
-    # open seats
-    "open_seats_yearly": lambda t: seats.open_seats_yearly(t.facts, **TERMS_AND_YEARS),
-    "open_seats_semester": lambda t: seats.open_seats_semester(t.facts, **TERMS),
-    "seat_class_yearly": lambda t: seats.seat_class_yearly(
-        t.facts, chosen(), years=t.in_scope, **TERMS_AND_YEARS
+    "course_semester_raw": lambda t: courses.course_semester(t.facts, raw_terms=True),
+    "course_semester_selected": lambda t: courses.course_semester(
+        t.facts_of(COURSES), COURSES, **TERMS
     ),
-    "seat_class_semester": lambda t: seats.seat_class_semester(
-        t.facts, chosen(), years=t.in_scope, **TERMS
+    "course_semester_joined": lambda t: courses.course_semester(
+        t.facts_of(t.chosen), t.chosen, **TERMS
     ),
-    "complete_years": lambda t: seats.completed_years(
-        t.facts, chosen(), years=t.in_scope, **TERMS_AND_YEARS
+    # open seats
+    "open_seats_yearly": lambda t: seats.open_seats_yearly(
+        t.facts_of(excluded_years=EXCLUDED_YEARS), **TERMS_AND_YEARS
+    ),
+    "open_seats_semester": lambda t: seats.open_seats_semester(t.facts, **TERMS),
+    "open_seats_titled": lambda t: courses.titled(
+        seats.open_seats_semester(t.facts_of(t.chosen), t.chosen, **TERMS), courses.CAPACITY_TITLE
     ),
-    "complete_terms": lambda t: seats.seats_completed_terms(
-        t.facts, chosen(), years=t.in_scope, **TERMS
+    "seat_class_yearly": lambda t: over_all_years(t, seats.seat_class_yearly, TERMS_AND_YEARS),
+    "seat_class_semester": lambda t: over_all_years(t, seats.seat_class_semester, TERMS),
+    "complete_years": lambda t: over_all_years(t, seats.completed_years, TERMS_AND_YEARS),
+    "complete_years_own_range": lambda t: seats.completed_years(
+        t.facts_of(t.chosen), t.chosen, own_range=True, **TERMS_AND_YEARS
     ),
+    "complete_terms": lambda t: over_all_years(t, seats.seats_completed_terms, TERMS),
     "term_spine": lambda t: spines.term_spine(t.in_scope),
     "year_spine": lambda t: spines.year_spine(t.in_scope),
     # discipline
     "discipline_by_level": lambda t: discipline.discipline_by_level(
-        t.facts, SUBJECT, **TERMS_AND_YEARS
+        t.facts_of(excluded_years=EXCLUDED_YEARS), SUBJECT, **TERMS_AND_YEARS
     ),
     "discipline_guard": lambda t: discipline.discipline_by_level(
-        t.facts, "UNKNOWN", **TERMS_AND_YEARS
+        t.facts_of(excluded_years=EXCLUDED_YEARS), ["UNKNOWN", SUBJECT], **TERMS_AND_YEARS
+    ),
+    "discipline_titled": lambda t: courses.titled(
+        discipline.discipline_by_level(
+            t.facts_of(excluded_years=EXCLUDED_YEARS), SUBJECT, **TERMS_AND_YEARS
+        ),
+        courses.ENROLLMENT_TITLE,
+        F.lit(SUBJECT),
     ),
     "discipline_derived_level": lambda t: discipline.discipline_derived_level(t.facts, SUBJECT),
     # picker
     "capacity_stats": lambda t: picker.capacity_stats(t.facts, EXCLUDED_TERMS),
     "years_offered": lambda t: picker.years_offered(t.facts, EXCLUDED_TERMS),
     "total_offered": lambda t: picker.total_offered(t.facts, EXCLUDED_TERMS),
+    "total_offered_all_terms": lambda t: picker.total_offered(t.facts),
     "rated_courses": lambda t: picker.rated_courses(t.facts, EXCLUDED_TERMS),
     "course_picker": lambda t: picker.course_picker(t.facts, SUBJECT, **TERMS),
     "section_weighted_capacity": lambda t: picker.section_weighted_capacity(t.facts),
     "total_capacity": lambda t: picker.total_capacity(t.facts, EXCLUDED_TERMS),
+    "total_capacity_terms": lambda t: picker.total_capacity_terms(t.facts, EXCLUDED_TERMS),
     # dimensions
     "term_order": lambda t: spines.term_order(t.in_scope),
     "term_order_raw": lambda t: spines.term_order(t.in_scope, raw_terms=True),
     "term_order_median": lambda t: spines.term_order_median(t.facts, **TERMS),
-    "axis_limits": axis_limits,
+    "axis_limits": lambda t: spines.axis_limits(t.facts, **TERMS_AND_YEARS),
+    "axis_limits_selected": lambda t: spines.axis_limits(
+        t.facts_of(t.chosen), t.chosen, **TERMS_AND_YEARS
+    ),
+    "axis_limits_discipline": lambda t: discipline.axis_limits(
+        t.facts_of(excluded_years=EXCLUDED_YEARS), SUBJECT, **TERMS_AND_YEARS
+    ),
     "distinct_subjects": lambda t: spines.distinct_subjects(clean.unite_course(t.in_scope)),
     "distinct_courses": lambda t: spines.distinct_courses(clean.unite_course(t.in_scope)),
     # title trends

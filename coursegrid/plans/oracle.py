@@ -6,6 +6,7 @@ Written row by row, the way the questions read, and not the way the Spark plans
 from coursegrid.plans.catalog import (
     CODE,
     COURSE_ID,
+    COURSES,
     EXCLUDED_INPUT_TERMS,
     EXCLUDED_TERMS,
     EXCLUDED_YEARS,
@@ -248,7 +249,7 @@ _USED = """acad_year_term, reporting_year, course_id, course_name, subject, cour
            xlist_section3, xlist_section4, section_number, course_level"""
 _TITLES = """SELECT course_title, acad_year_term,
                     CASE WHEN count(*) = count(enrolled) THEN sum(enrolled) END AS enrolled,
-                    min(reporting_year) AS reporting_year
+                    max(reporting_year) AS reporting_year
              FROM reg WHERE {where} GROUP BY course_title, acad_year_term"""
 
 QUERIES = {
@@ -319,8 +320,24 @@ QUERIES = {
               FROM sections)""",
     "course_yearly": "SELECT * FROM yearly",
     "course_semester": "SELECT * EXCLUDE (semester_capacity) FROM semesterly",
-    "course_semester_selected":
+    "course_semester_raw": """
+        SELECT course, CAST(reporting_year AS VARCHAR) || '_' || semester AS term,
+               CAST(reporting_year * 2 + (semester = 'FA')::INT AS INT) AS term_key,
+               reporting_year AS year, semester,
+               CAST(reporting_year + (semester = 'FA')::INT AS INT) AS term_order,
+               semester_enrolled, total_sections,
+               round_even(semester_enrolled / total_sections, 0) AS avg_section
+        FROM halves LEFT JOIN (SELECT course, term, count(*) AS total_sections
+                               FROM all_sections GROUP BY course, term) USING (course, term)
+        WHERE semester_enrolled <> 0""",
+    "course_semester_selected": f"""SELECT * EXCLUDE (semester_capacity) FROM semesterly
+        WHERE course IN ({_texts(COURSES)})""",
+    "course_semester_joined":
         "SELECT * EXCLUDE (semester_capacity) FROM semesterly SEMI JOIN chosen USING (course)",
+    "open_seats_titled": f"""
+        SELECT *, 'Course Capacity for ' || course AS title FROM (
+        {_seats("semesterly", "course, term", "semester_enrolled", "semester_capacity")})
+        SEMI JOIN chosen USING (course)""",
     "open_seats_yearly":
         _seats("yearly", "course, reporting_year", "yearly_enrolled", "yearly_capacity"),
     "open_seats_semester":
@@ -328,6 +345,12 @@ QUERIES = {
     "seat_class_yearly": _classes("full_years", "yearly_enrolled", "yearly_capacity"),
     "seat_class_semester": _classes("full_terms", "semester_enrolled", "semester_capacity"),
     "complete_years": "SELECT * FROM full_years",
+    "complete_years_own_range": f"""
+        SELECT course, reporting_year, yearly_enrolled, yearly_capacity, total_sections, avg_section
+        FROM (SELECT course, CAST(unnest(range(min(reporting_year), max(reporting_year) + 1)) AS INT)
+                         AS reporting_year
+              FROM years SEMI JOIN chosen USING (course) GROUP BY course)
+        LEFT JOIN yearly USING (course, reporting_year) WHERE reporting_year NOT IN ({YEARS})""",
     "complete_terms": _seats(
         "full_terms",
         "course, term, term_key, term_order",
@@ -340,13 +363,17 @@ QUERIES = {
         "course_level", "sections", SUBJECT, f"reporting_year NOT IN ({YEARS})"
     ),
     "discipline_guard": _discipline(
-        "course_level", "sections", "UNKNOWN", f"reporting_year NOT IN ({YEARS})"
-    ),
+        "course_level", "sections", SUBJECT, f"reporting_year NOT IN ({YEARS})"
+    ).replace(f"subject = '{SUBJECT}'", f"subject IN ('{SUBJECT}', 'UNKNOWN')"),
+    "discipline_titled": f"""SELECT *, 'Enrollment for {SUBJECT}' AS title FROM (
+        {_discipline("course_level", "sections", SUBJECT, f"reporting_year NOT IN ({YEARS})")})""",
     "discipline_derived_level": _discipline(_LEVEL, "all_sections", SUBJECT, "course_level <= 3"),
     "capacity_stats": "SELECT * FROM stats",
     "years_offered": "SELECT * FROM offered",
     "total_offered": """SELECT course, reporting_year, term, semester, section,
         count(*) OVER (PARTITION BY course) AS total_offered FROM sections""",
+    "total_offered_all_terms": """SELECT course, reporting_year, term, semester, section,
+        count(*) OVER (PARTITION BY course) AS total_offered FROM all_sections""",
     "rated_courses": "SELECT * FROM rated",
     "course_picker": f"""SELECT * FROM rated WHERE full_avg_capacity >= 6
         AND subject = '{SUBJECT}' AND total_years_offered >= 3""",
@@ -359,6 +386,13 @@ QUERIES = {
               FROM all_sections) USING (course, reporting_year)
         GROUP BY course""",
     "total_capacity": "SELECT *, avg_capacity * total_sections AS total_capacity FROM stats",
+    "total_capacity_terms": f"""
+        SELECT course, term, year, semester_enrolled, avg_capacity, t.total_sections,
+               avg_capacity * t.total_sections AS total_capacity
+        FROM halves LEFT JOIN (SELECT course, reporting_year, avg_capacity FROM stats)
+                    USING (course, reporting_year)
+        LEFT JOIN term_counts t USING (course, term)
+        WHERE semester_enrolled <> 0 AND term NOT IN ({TERMS})""",
     "term_order": """SELECT *, CAST(dense_rank() OVER (ORDER BY term_key) AS INT) AS term_order
         FROM terms""",
     "term_order_raw": """SELECT *, CAST(dense_rank() OVER (ORDER BY year, semester DESC) AS INT)
@@ -372,13 +406,24 @@ QUERIES = {
                (SELECT max(semester_enrolled) FROM halves WHERE term NOT IN ({TERMS}))
                    AS max_semester_enrolled,
                min(reporting_year) AS first_year, max(reporting_year) AS last_year FROM years""",
+    "axis_limits_selected": f"""
+        SELECT (SELECT max(yearly_enrolled) FROM yearly SEMI JOIN chosen USING (course))
+                   AS max_yearly_enrolled,
+               (SELECT max(semester_enrolled) FROM halves SEMI JOIN chosen USING (course)
+                WHERE term NOT IN ({TERMS})) AS max_semester_enrolled,
+               min(reporting_year) AS first_year, max(reporting_year) AS last_year
+        FROM years SEMI JOIN chosen USING (course)""",
+    "axis_limits_discipline": f"""
+        SELECT max(enrolled) AS max_enrolled, min(reporting_year) AS first_year,
+               max(reporting_year) AS last_year
+        FROM ({_discipline("course_level", "sections", SUBJECT, f"reporting_year NOT IN ({YEARS})")})""",
     "distinct_subjects": "SELECT DISTINCT subject FROM years",
     "distinct_courses": "SELECT DISTINCT course FROM years",
     "title_term": _TITLES.format(where=_OF_SUBJECTS),
     "title_year": f"""
         SELECT course_title, reporting_year,
                CASE WHEN count(*) = count(enrolled) THEN sum(enrolled) END AS enrolled
-        FROM reg WHERE {_OF_SUBJECTS} GROUP BY course_title, reporting_year""",
+        FROM ({_TITLES.format(where=_OF_SUBJECTS)}) GROUP BY course_title, reporting_year""",
     "title_term_split": f"""
         SELECT * EXCLUDE (acad_year_term), left(acad_year_term, 4) AS term_year,
                right(acad_year_term, 2) AS semester

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from coursegrid.operators import courses, discipline, facts, picker, seats, spines
+from coursegrid.operators import courses, discipline, facts, picker, seats, spines, trends
 from coursegrid.operators.clean import clean_registrations, normalize_capacity
 from coursegrid.schemas import (
     PANDEMIC_INPUT_TERMS,
@@ -12,6 +12,18 @@ from coursegrid.schemas import (
 )
 
 
+# The settings of the enrollment chart.
+SHOW_SECTIONS, LABEL_SECTIONS = "show class sections", "label sections"
+
+
+def _by_year(time: str) -> bool:
+    """Whether a time frame is the year; the other one is the semester, in any case of letters."""
+    frame = time.lower()
+    if frame not in ("year", "semester"):
+        raise ValueError(f"time is 'year' or 'semester', not {time!r}")
+    return frame == "year"
+
+
 class Registrar:
     """Facts with the excluded terms and years every question shares.
 
@@ -20,9 +32,21 @@ class Registrar:
     """
 
     def __init__(
-        self, facts_table: DataFrame, *, excluded_terms=PANDEMIC_TERMS, excluded_years=PANDEMIC_YEARS
+        self,
+        facts_table: DataFrame,
+        *,
+        excluded_terms=PANDEMIC_TERMS,
+        excluded_years=PANDEMIC_YEARS,
+        years: DataFrame | None = None,
+        registrations: DataFrame | None = None,
     ):
+        """`years`: table with the reporting years of the time axes, the facts unless given.
+
+        `registrations`: the raw table, needed for the title trend only.
+        """
         self.facts = facts_table
+        self.years = facts_table if years is None else years
+        self.registrations = registrations
         self.excluded_terms = tuple(excluded_terms)
         self.excluded_years = tuple(excluded_years)
 
@@ -36,18 +60,27 @@ class Registrar:
         regular_only: bool = True,
         excluded_input_terms=PANDEMIC_INPUT_TERMS,
         sections=SECTION_DOMAIN,
+        chosen=None,
         **options,
     ) -> "Registrar":
-        """Wrangle the raw tables (`schemas.REGISTRATIONS`, `schemas.CAPACITY`)."""
+        """Wrangle the raw tables (`schemas.REGISTRATIONS`, `schemas.CAPACITY`).
+
+        With `chosen`, names or a table of courses, only what facts of these courses need is
+        read; the questions are then about them, and so are the time axes.
+        """
         rows = clean_registrations(
             registrations,
             normalize_capacity(capacity),
             subjects=subjects,
             regular_only=regular_only,
             excluded_terms=excluded_input_terms,
+            courses=chosen,
             collapse=True,
         )
-        return cls(facts.course_year_facts(rows, sections), **options)
+        table, years = facts.facts_and_years(rows, sections)
+        if chosen is not None:
+            table = courses.choose(table, chosen)
+        return cls(table, years=years, registrations=registrations, **options)
 
     @property
     def _terms(self) -> dict:
@@ -65,7 +98,7 @@ class Registrar:
 
     def enrollment(self, time: str = "semester", chosen=None) -> DataFrame:
         """Enrollment by course, per `semester` or `year`."""
-        if time == "year":
+        if _by_year(time):
             return courses.course_yearly(self.facts, chosen, **self._terms_and_years)
         return courses.course_semester(self.facts, chosen, **self._terms)
 
@@ -74,15 +107,65 @@ class Registrar:
 
     def open_seats(self, time: str = "semester", chosen=None) -> DataFrame:
         """Seat measures by course, per `semester` or `year`."""
-        if time == "year":
+        if _by_year(time):
             return seats.open_seats_yearly(self.facts, chosen, **self._terms_and_years)
         return seats.open_seats_semester(self.facts, chosen, **self._terms)
 
     def seat_classes(self, time: str = "semester", chosen=None) -> DataFrame:
         """Seat classes on a gap-free time axis."""
-        if time == "year":
-            return seats.seat_class_yearly(self.facts, chosen, **self._terms_and_years)
-        return seats.seat_class_semester(self.facts, chosen, **self._terms)
+        if _by_year(time):
+            return seats.seat_class_yearly(
+                self.facts, chosen, years=self.years, **self._terms_and_years
+            )
+        return seats.seat_class_semester(self.facts, chosen, years=self.years, **self._terms)
+
+    def completed_seats(
+        self, time: str = "semester", chosen=None, *, own_range: bool = False
+    ) -> DataFrame:
+        """Seat measures on a gap-free time axis; for years also on each course's own range."""
+        if _by_year(time):
+            full = seats.completed_years(
+                self.facts, chosen, years=self.years, own_range=own_range, **self._terms_and_years
+            )
+            keys = ["course", "reporting_year"]
+            return seats.seat_measures(full, keys, "yearly_enrolled", "yearly_capacity")
+        if own_range:
+            raise ValueError("own_range is for years")
+        return seats.seats_completed_terms(
+            self.facts, chosen, years=self.years, **self._terms
+        )
+
+    def enrollment_chart(
+        self, time: str = "semester", chosen=None, settings=()
+    ) -> dict[str, DataFrame]:
+        """The layers of the enrollment chart: `line`, and `sections` if they are to be shown.
+
+        Sections are shown by semester only; they have a `label` if they are to be labelled.
+        """
+        unknown = set(settings) - {SHOW_SECTIONS, LABEL_SECTIONS}
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        line = courses.titled(self.enrollment(time, chosen), courses.ENROLLMENT_TITLE)
+        layers = {"line": line}
+        if settings and not _by_year(time):
+            marks = self.section_marks(chosen)
+            labelled = marks.withColumn("label", marks["section"])
+            layers["sections"] = labelled if LABEL_SECTIONS in settings else marks
+        return layers
+
+    def axis_limits(self, chosen=None) -> DataFrame:
+        """Largest enrollments and the range of years over the chosen courses, or all."""
+        return spines.axis_limits(self.facts, chosen, **self._terms_and_years)
+
+    def discipline_limits(self, subjects) -> DataFrame:
+        return discipline.axis_limits(self.facts, subjects, **self._terms_and_years)
+
+    def title_trend(self, time: str = "semester", subjects=None) -> DataFrame:
+        """Enrollment by course title, per input term or reporting year."""
+        if self.registrations is None:
+            raise ValueError("the title trend needs the registrations")
+        trend = trends.title_year if _by_year(time) else trends.title_term
+        return trend(self.registrations, subjects)
 
     def discipline(self, subjects) -> DataFrame:
         return discipline.discipline_by_level(self.facts, subjects, **self._terms_and_years)
@@ -92,6 +175,9 @@ class Registrar:
             self.facts, subject, min_capacity=min_capacity, min_years=min_years, **self._terms
         )
 
+    def courses(self) -> DataFrame:
+        return spines.distinct_courses(self.facts)
+
     def subjects(self) -> DataFrame:
         return spines.distinct_subjects(self.facts)
 

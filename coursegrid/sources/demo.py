@@ -18,7 +18,7 @@ PARTS = "p_partkey long, p_name string, p_type string, p_size int"
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"
 
 
-def _courses(spark: SparkSession, folder: str) -> DataFrame:
+def courses(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as courses; the texts are made here, once per part and not per line."""
     parts = spark.read.schema(PARTS).parquet(f"{folder}/part.parquet")
     size = F.col("p_size")
@@ -57,7 +57,7 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "LAB"
         ),
     }
-    joined = lines.join(_courses(spark, folder), F.col("l_partkey") == F.col("course_id"))
+    joined = lines.join(courses(spark, folder), F.col("l_partkey") == F.col("course_id"))
     return joined.select(
         *[columns.get(f, F.col(f)).alias(f) for f in REGISTRATIONS.fieldNames()]
     )

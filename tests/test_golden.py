@@ -205,3 +205,102 @@ def test_picker_needs_sections_in_the_first_year(spark):
     )
     # the year without sections still divides the average
     assert got == (15.0, None)
+
+
+def test_time_frames(registrar):
+    for time in ("Year", "year", "YEAR"):
+        assert "reporting_year" in registrar.enrollment(time).columns
+    assert "term" in registrar.open_seats("Semester").columns
+    for question in (registrar.enrollment, registrar.open_seats, registrar.seat_classes, registrar.title_trend):
+        with pytest.raises(ValueError, match="quarter"):
+            question("quarter")
+
+
+def test_title_trend_takes_the_latest_year(spark):
+    rows = [
+        (20, "2014FA", 2013, "A-1", "Logic", "01", 3.0, None, None),
+        (21, "2014FA", 2014, "A-1", "Logic", "02", 4.0, None, None),
+        (22, "2015SP", None, "A-1", "Logic", "01", 5.0, None, None),
+        (23, "2012FA", 2012, "B-1", "Art", "01", 6.0, None, None),
+        (24, "2014FA", 2014, "B-1", "Art", "01", 7.0, None, None),
+    ]
+    table = golden.registrations(spark, rows)
+    made = Registrar.from_registrations(table, golden.capacity(spark))
+    terms = {(r.course_title, r.acad_year_term): (r.enrolled, r.reporting_year) for r in made.title_trend().collect()}
+    assert terms["Logic", "2014FA"] == (7.0, 2014)
+    assert terms["Logic", "2015SP"] == (5.0, None)
+    # earliest year first, ties by title, unknown years last
+    years = [(r.course_title, r.reporting_year, r.enrolled) for r in made.title_trend("year").collect()]
+    assert years == [("Art", 2012, 6.0), ("Art", 2014, 7.0), ("Logic", 2014, 7.0), ("Logic", None, 5.0)]
+
+
+def test_projection_order(spark):
+    rows = [
+        (31, "2012FA", 2012, "A-1", "L", "01", 1.0, None, None),
+        (33, "2014FA", 2014, "A-1", "L", "01", 1.0, None, None),
+        (32, "2014FA", 2014, "A-1", "L", "02", 1.0, None, None),
+        (34, "2011FA", None, "A-1", "L", "01", 1.0, None, None),
+    ]
+    got = clean.project_registrations(golden.registrations(spark, rows)).collect()
+    assert [(r.reporting_year, r.section_number) for r in got] == [(2014, "02"), (2014, "01"), (2012, "01"), (None, "01")]
+
+
+def test_axis_limits(registrar):
+    limits = registrar.axis_limits([STAT]).first()
+    assert (limits.max_yearly_enrolled, limits.max_semester_enrolled) == (63.0, 45.0)
+    assert (limits.first_year, limits.last_year) == (2014, 2014)
+    assert registrar.axis_limits().first().max_yearly_enrolled == 63.0
+    assert tuple(registrar.axis_limits(["none"]).first()) == (None,) * 4
+    assert tuple(registrar.discipline_limits("STAT").first()) == (63.0, 2014, 2014)
+
+
+def test_own_range_of_years(spark):
+    extra = [
+        *golden.ROWS,
+        (10, "2017FA", 2017, "CS-140", "Intro", "01", 9.0, None, None),
+        (11, "2012FA", 2012, "CS-140", "Intro", "01", 9.0, None, None),
+    ]
+    made = Registrar.from_registrations(golden.registrations(spark, extra), golden.capacity(spark))
+
+    def years(**options):
+        rows = made.completed_seats("year", [MATH, "CS-140: Intro", "none"], **options).collect()
+        return {(r.course, r.reporting_year) for r in rows}
+
+    assert years() == {(c, y) for c in (MATH, "CS-140: Intro") for y in range(2012, 2018)}
+    # a chosen course without facts has no rows
+    assert years(own_range=True) == {(MATH, 2014)} | {("CS-140: Intro", y) for y in range(2012, 2018)}
+    with pytest.raises(ValueError):
+        made.completed_seats("semester", [MATH], own_range=True)
+
+
+def test_chart_layers(registrar):
+    plain = registrar.enrollment_chart("Semester", [STAT])
+    assert set(plain) == {"line"} and plain["line"].first().title == f"Enrollment for {STAT}"
+    shown = registrar.enrollment_chart("semester", [STAT], ["show class sections"])
+    assert "label" not in shown["sections"].columns and shown["sections"].count() == 3
+    labelled = registrar.enrollment_chart("semester", [STAT], ["show class sections", "label sections"])
+    assert {r.label for r in labelled["sections"].collect()} == {"01", "02"}
+    assert set(registrar.enrollment_chart("year", [STAT], ["label sections"])) == {"line"}
+    with pytest.raises(ValueError):
+        registrar.enrollment_chart("year", [STAT], ["other"])
+    assert {r.course for r in registrar.courses().collect()} >= {STAT, MATH, CS}
+
+
+@pytest.mark.parametrize("form", ["names", "table"])
+def test_facts_of_chosen_courses_are_the_same(spark, registrar, form):
+    """Pools reach over courses of one title, so a choice by title changes no fact."""
+    chosen = [MATH, "A-1: B: C", "no separator"]
+    extra = [*golden.ROWS, (40, "2014FA", 2014, "A-1", "B: C", "01", 3.0, None, None)]
+    table = spark.createDataFrame([(c,) for c in chosen], "course string") if form == "table" else chosen
+    registrations, capacity = golden.registrations(spark, extra), golden.capacity(spark)
+    whole = Registrar.from_registrations(registrations, capacity).open_seats("semester", chosen)
+    part = Registrar.from_registrations(registrations, capacity, chosen=table).open_seats("semester")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect()))
+    assert {r.course for r in part.collect()} == {MATH, "A-1: B: C"}
+
+
+def test_attribute_conflicts_are_reported(rows):
+    assert facts.attribute_conflicts(rows).isEmpty()
+    odd = rows.withColumn("course_level", F.when(F.col("course_section_id") == 1, None).otherwise(F.col("course_level")))
+    (found,) = facts.attribute_conflicts(odd).collect()
+    assert (found.course, found.subject_values, found.course_level_values) == (STAT, 1, 2)

@@ -124,14 +124,39 @@ def test_group_totals_split_a_hot_group(spark):
     assert largest < 64_000 / 64 * 1.25
 
 
-def test_hot_section_id_is_split_by_the_join(spark, no_broadcast):
+def test_hot_section_id_is_split_by_the_join(spark, no_broadcast, tmp_path):
+    """Both sides stored: a third of the registrations have one id, and no task joins a seventh."""
     rows = hot_rows(spark, 200_000).withColumn(
         "course_section_id",
         F.when(F.col("course_title") == "Seminar", 7).otherwise(F.col("course_section_id")),
     )
-    joined = clean.join_capacity(rows, clean.collapse_capacity(hot_capacity(spark, 200_000)))
-    sums = joined.groupBy("subject").agg(F.sum("enrolled"), F.sum("section_capacity"))
-    assert "skew=true" in executed(sums)
+    # many map tasks and numbers that do not compress, as in large tables: a task's output is the smallest piece
+    rows.withColumn("enrolled", F.rand(1)).repartition(24).write.parquet(str(tmp_path / "r"))
+    hot_capacity(spark, 200_000).write.parquet(str(tmp_path / "c"))
+    few = {"spark.sql.files.maxPartitionBytes": "100KB", "spark.sql.files.openCostInBytes": "100KB"}
+    few |= {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    for key, setting in few.items():
+        spark.conf.set(key, setting)
+    try:
+        shares, plan = shares_of_the_join(spark, tmp_path)
+    finally:
+        for key, setting in before.items():
+            spark.conf.set(key, setting)
+    assert sum(shares) == pytest.approx(1) and max(shares) < 0.15
+    assert "skew=true" in plan
+
+
+def shares_of_the_join(spark, tmp_path):
+    """Share of the rows that each task of the capacity join makes, and the plan that ran."""
+    cleaned = clean.clean_registrations(
+        spark.read.parquet(str(tmp_path / "r")), spark.read.parquet(str(tmp_path / "c")), collapse=True
+    )
+    # a task's rows are counted in the stage of the join
+    per_task = cleaned.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("section_capacity"), F.sum("enrolled")
+    )
+    return [r.n / 200_000 for r in per_task.collect()], executed(per_task)
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -162,3 +187,43 @@ def test_scan_reads_only_used_columns_and_pushes_filters(spark, tmp_path):
     assert "IsNull(schedule_type)" in pushed and "acad_year_term" in pushed
     read = scan[scan.index("ReadSchema"):]
     assert "xlist_section2" not in read and "course_id" not in read
+
+
+def test_choices_reach_below_the_first_sum(spark, folder):
+    """Title and year tests stand below the aggregate of the raw rows, on the scans or joins."""
+    def below(name):
+        text = queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        return text[text.index("CollectMetrics"):]
+
+    chosen = below("course_semester_selected")
+    assert "p_name" in chosen and "blue anvil" in chosen[chosen.index("Aggregate"):]
+    for name in ("course_yearly", "open_seats_yearly", "discipline_by_level"):
+        plan = below(name)
+        assert "1998" in plan[plan.index("Aggregate"):].replace("1998FA", "")
+
+
+def nodes(plan):
+    """All nodes that ran, those of subqueries included; what is reused is not entered again."""
+    kind = plan.getClass().getSimpleName()
+    if kind in ("AdaptiveSparkPlanExec", "SubqueryAdaptiveBroadcastExec"):
+        inner = [plan.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        inner = [plan.plan()]
+    elif kind.startswith("Reused"):
+        inner = []
+    else:
+        inner = [plan.children().apply(i) for i in range(plan.children().size())]
+        inner += [plan.subqueries().apply(i) for i in range(plan.subqueries().size())]
+    return [plan, *(n for p in inner for n in nodes(p))]
+
+
+@pytest.mark.parametrize("name", ["course_semester_selected", "complete_terms", "seat_class_yearly", "complete_years"])
+def test_choices_and_axes_scan_once(spark, folder, no_broadcast, name):
+    df = queries()[name](spark, folder)
+    df.collect()
+    scans = {}
+    for node in nodes(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            text = node.toString()
+            scans[node.id()] = next(t for t in ("lineitem", "orders", "part") if f"/{t}.parquet" in text)
+    assert sorted(scans.values()).count("lineitem") == sorted(scans.values()).count("orders") == 1

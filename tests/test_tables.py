@@ -4,9 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as driver
+from coursegrid.plans import catalog, oracle
 
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con(folder):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
