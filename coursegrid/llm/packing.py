@@ -33,7 +33,7 @@ from coursegrid.llm.shared import partitions, settled
 
 END = 0
 #: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 SWEEPS = 20
 
 
@@ -47,7 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -57,18 +57,21 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [t.split(" ") for t in texts]
-        whole = {
-            i for i, ws in enumerate(split)
-            if any(not w or w[-1].isspace() for w in ws[:-1]) or any(s in texts[i] for s in self.special)
-        }
-        new = list({w for i, ws in enumerate(split) if i not in whole for w in ws[1:] if w not in self.known})
-        self.known.update(zip(new, self.encoded([" " + w for w in new])))
-        known = self.known
-        starts = self.encoded([t if i in whole else split[i][0] for i, t in enumerate(texts)])
+        known, split = self.known, [t.split(" ") for t in texts]
+        new = list(set().union(*(ws[1:-1] for ws in split)).difference(known))
+        # A blank after white space may join its token: a text with such a word is encoded whole.
+        known.update((w, None) for w in new if not w or w[-1].isspace())
+        new = [w for w in new if w not in known]
+        known.update(zip(new, self.encoded([" " + w for w in new])))
+        ends = self.encoded([e for ws in split for e in (ws[0], " " + ws[-1] if len(ws) > 1 else "")])
+        middles = []
+        for text, ws in zip(texts, split):
+            parts = [known[w] for w in ws[1:-1]]
+            whole = None in parts or any(s in text for s in self.special)
+            middles.append(None if whole else b"".join(parts))
+        rest = iter(self.encoded([t for t, m in zip(texts, middles) if m is None]))
         return [
-            first if i in whole else first + b"".join([known[w] for w in split[i][1:]])
-            for i, first in enumerate(starts)
+            next(rest) if m is None else first + m + last for first, last, m in zip(ends[::2], ends[1::2], middles)
         ]
 
 
