@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from coursegrid.llm import oracle, queries, toxicity
+from coursegrid.llm import oracle, packing, queries, toxicity
 
 SQL = oracle.oracle_sql()
 
@@ -116,3 +116,21 @@ def test_pipeline_stages(spark, folder, tmp_path):
 def test_pipeline_runs(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.filter(F.col("offset") == 0).count() == got.select("sequence_id").distinct().count()
+
+
+def test_remembered_words_give_the_tokenizer_s_ids(texts):
+    """Cutting texts into words changes no id, whatever stands between and after the words."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = [
+        "", " ", "a  b", "  x", "x ", "a\n b", "hi <|endoftext|> there", "tab\t x", "a   b", "\n\n x", "nb  x", "　 z",
+        "it's, they'll. x2, 3.14, ②. a-b,, (x). 漢字。, ... ,, x.,", "½, a½. ª! x² Ⅷ, ١٢, naïve's.", "\x1c a \x1f", "🙂. 🙂, é́.",
+    ]
+    pieces = ["a", "B.", "7,", " ", "  ", "\n", "\t", "'s", "é!", "漢", "½;", ".", "<|endoftext|>", " ", "\x85"]
+    rng = np.random.default_rng(4)
+    odd += ["".join(rng.choice(pieces, 12)) for _ in range(3000)]
+    every = [*odd, *(t or "" for t in texts.values())]
+    encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    want = [e.ids for e in plain.encode_batch(every, add_special_tokens=False)]
+    got = [np.frombuffer(i, "<u4").tolist() for i in encoder.ids(every)]
+    assert got == want
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.ids(every)] == want  # from memory
