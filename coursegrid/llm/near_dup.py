@@ -255,16 +255,15 @@ def group(
         .agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", *SIGNATURE)])
     )
     members = settled(_members(classes))
-    labels = settled(_labels(texts, members, kind, shingle, threshold))
-    of_class = (
-        classes.select("d0", "d1", F.col("id").alias("own"))
-        .join(labels, F.col("own") == F.col("node"), "left")
-        .select("d0", "d1", F.coalesce("root", "own").alias("component"))
-    )
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    own = classes.select("d0", "d1", F.col("id").alias("own"))
+    placed = sketches.filter(linked).select("id", "d0", "d1").join(own, ["d0", "d1"])
+    labels = settled(_labels(texts, members, _of_one_id(placed), kind, shingle, threshold))
+    of_class = own.join(labels, F.col("own") == F.col("node"), "left").select(
+        "d0", "d1", F.coalesce("root", "own").alias("component")
+    )
     found = sketches.select("id", "n", "d0", "d1").join(of_class, ["d0", "d1"], "left")
     component = F.when(linked, F.col("component")).otherwise(F.col("id"))
-    # A document with several texts goes by the smallest component of them; their classes are one node or linked.
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -273,6 +272,12 @@ def group(
     )
 
 
+def _of_one_id(placed: DataFrame) -> DataFrame:
+    """Links `u, v` between the classes of an id that has several texts."""
+    several = placed.groupBy("id").agg(F.min("own").alias("v"), F.max("own").alias("high")).filter("v < high")
+    return placed.join(several, "id").filter("own <> v").select(F.col("own").alias("u"), "v")
+
+
 def _members(classes: DataFrame) -> DataFrame:
     """Classes with each band key that they share with others."""
     keyed = classes.select("id", F.explode("keys").alias("key"))
@@ -340,11 +345,11 @@ def _crossing(open_: DataFrame, kind: str, shingle: int, threshold: int) -> Data
     return a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
-def _labels(texts: DataFrame, members: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
-    """`node, root` of all classes that are linked with a smaller one."""
+def _labels(texts: DataFrame, members: DataFrame, known: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
+    """`node, root` of all classes that are linked with a smaller one; `known` links hold from the start."""
     wanted = members.select("id").distinct()
     shelf = settled(texts.join(wanted, "id").select("id", "text"))
-    links = _links(_near_pivots(members, threshold), shelf, kind, shingle, threshold)
+    links = _links(_near_pivots(members, threshold), shelf, kind, shingle, threshold).unionByName(known)
     labels = components(links)
     named = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
     named = named.select("key", "id", F.coalesce("root", "id").alias("comp"))

@@ -113,6 +113,17 @@ def test_near_duplicates(documents, rows, size, threshold):
     same([r.doc_id for r in kept.collect()], [i for i, _ in rows if i is None or of[i] == i])
 
 
+def test_ids_with_several_texts(spark):
+    """An id is one document, linked through any of its texts; its rows lie in one component."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    texts = [(5, a), (5, b), (9, a), (3, b), (7, c), (9, c), (6, None), (6, c + " more"), (8, "")]
+    got = near_dup.group(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()
+    want = brute.components(texts, 3, 85)
+    assert want[9] == 3
+    for r in got:
+        assert r.component_id == (want[r.doc_id] if r.n_shingles else r.doc_id)
+
+
 def test_chains_of_near_copies(spark):
     """A family in which most pairs are below the threshold and the components come from chains."""
     rng = np.random.default_rng(5)
