@@ -6,7 +6,8 @@ chosen documents, the background counts from all. A low difference marks a text
 
 All words and word pairs of the whole corpus are counted (see `cells`): a chunk sends each of its different keys once, with its
 counts; a bucket adds them up over the chunks and answers the totals in the order of the cell; the chunk then scores its
-documents. Only three sums (types, target tokens, background tokens) come to the driver.
+documents. Every bucket also tells every chunk its sums (types, tokens, target tokens), which add up to those of the corpus,
+so all is one query without a stop: the texts are shuffled once, and nothing comes to the driver.
 
 Defined cases: every input row gives one result row and counts as a document, repeated rows too; null and empty texts have no
 tokens and null losses; without target documents the target model is uniform; a null id is never in the target; an
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursegrid.llm import cells, words
-from coursegrid.llm.shared import settled
 
 PRIOR = 10.0
 U64 = np.uint64
@@ -87,30 +87,32 @@ def _send(buckets: int):
     return send
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Totals for each cell of a bucket, and the bucket's sums in a row without a chunk."""
-    keys = [cells.unpacked(c.as_py()) for c in table.column("keys")]
-    counts = [cells.numbers(c.as_py()).reshape(2, -1) for c in table.column("counts")]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    both = np.concatenate(counts, axis=1)
-    totals = np.stack([np.bincount(place, c, len(every)) for c in both]).astype(np.int64)
-    single = (every & _ONE) == 0
-    cut = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
-    answers = [cells.squeezed(totals[:, p].ravel()) for p in cut]
-    bucket = table.column("bucket")[0].as_py()
-    sums = [int(single.sum()), int(totals[0][single].sum()), int(totals[1][single].sum())]
-    return pa.table(
-        {
-            "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int32()),
-            "bucket": pa.array([bucket] * (len(keys) + 1), pa.int32()),
-            "totals": pa.array([*answers, None], pa.binary()),
-            "sums": pa.array([None] * len(keys) + [sums], pa.list_(pa.int64())),
-        }
-    )
+def _answer(chunks: int):
+    def answer(table: pa.Table) -> pa.Table:
+        """For each chunk, the totals of its cell of this bucket, if it has one, and the bucket's sums."""
+        keys = [cells.unpacked(c.as_py()) for c in table.column("keys")]
+        counts = [cells.numbers(c.as_py()).reshape(2, -1) for c in table.column("counts")]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        both = np.concatenate(counts, axis=1)
+        totals = np.stack([np.bincount(place, c, len(every)) for c in both]).astype(np.int64)
+        single = (every & _ONE) == 0
+        cut = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+        own = {c: cells.squeezed(totals[:, p].ravel()) for c, p in zip(table.column("chunk").to_pylist(), cut)}
+        sums = [int(single.sum()), int(totals[0][single].sum()), int(totals[1][single].sum())]
+        return pa.table(
+            {
+                "chunk": pa.array(range(chunks), pa.int32()),
+                "bucket": pa.array([table.column("bucket")[0].as_py()] * chunks, pa.int32()),
+                "totals": pa.array([own.get(c) for c in range(chunks)], pa.binary()),
+                "sums": pa.array([sums] * chunks, pa.list_(pa.int64())),
+            }
+        )
+
+    return answer
 
 
-def _losses(buckets: int, types: int, tokens: tuple[int, int]):
-    def model(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int) -> np.ndarray:
+def _losses(buckets: int):
+    def model(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, types: int) -> np.ndarray:
         return -np.log((pair + PRIOR * (word + 1) / (total + types)) / (context + PRIOR))
 
     def losses(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -118,12 +120,14 @@ def _losses(buckets: int, types: int, tokens: tuple[int, int]):
         at = cells.cuts(keys, buckets)
         totals = np.zeros((2, len(keys)))
         for b, t in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()):
-            totals[:, at[b] : at[b + 1]] = cells.unsqueezed(t).reshape(2, -1)
+            if t is not None:
+                totals[:, at[b] : at[b + 1]] = cells.unsqueezed(t).reshape(2, -1)
+        types, all_, own = (sum(x) for x in zip([0, 0, 0], *answers.column("sums").to_pylist()))
         n = np.bincount(rows, minlength=len(table))
         none = n == 0
         out = {"doc_id": table.column("id"), "n_tokens": pa.array(n, pa.int64())}
-        for name, c, total in (("background_loss", totals[0], tokens[0]), ("target_loss", totals[1], tokens[1])):
-            each = np.bincount(rows, model(c[both], c[before], c[word], total), len(table))
+        for name, c, total in (("background_loss", totals[0], all_), ("target_loss", totals[1], own)):
+            each = np.bincount(rows, model(c[both], c[before], c[word], total, types), len(table))
             out[name] = pa.array(each / np.maximum(n, 1), pa.float64(), mask=none)
         return pa.table(out)
 
@@ -142,17 +146,12 @@ def score(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
         .applyInArrow(_send(count), "chunk int, bucket int, keys binary, counts binary")
     )
     layout = "chunk int, bucket int, totals binary, sums array<long>"
-    answers = settled(sent.groupBy("bucket").applyInArrow(_answer, layout))
-    types, all_, own = (
-        int(x or 0)
-        for x in answers.filter("sums IS NOT NULL").agg(*[F.sum(F.col("sums")[i].cast("decimal(38,0)")) for i in range(3)]).first()
-    )
+    answers = sent.groupBy("bucket").applyInArrow(_answer(count), layout)
     scored = (
         chunks.groupBy("chunk")
-        .cogroup(answers.filter("chunk IS NOT NULL").select("chunk", "bucket", "totals").groupBy("chunk"))
+        .cogroup(answers.groupBy("chunk"))
         .applyInArrow(
-            _losses(count, types, (all_, own)),
-            f"doc_id {kind.simpleString()}, n_tokens long, background_loss double, target_loss double",
+            _losses(count), f"doc_id {kind.simpleString()}, n_tokens long, background_loss double, target_loss double"
         )
     )
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
