@@ -35,11 +35,13 @@ END = 0
 #: Words whose ids a Python worker remembers before it starts anew.
 REMEMBERED = 1 << 20
 SWEEPS = 20
+PUNCTUATION = ".,;:!?%*#$&|"
 
 
 class Encoder:
-    """Token ids of texts. Cutting before a blank that follows a non-blank never cuts a token, so a word and the blank
-    before it can be remembered."""
+    """Token ids of texts. Cutting before a blank that follows a non-blank never cuts a token, nor does cutting between a
+    letter or digit and the punctuation after it, so a word with the blank before it can be remembered, and put
+    together from itself and its punctuation."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,21 +50,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in out]
 
+    def learn(self, new: list[str]) -> None:
+        """Remember words, each with a blank before it."""
+        plain, cut = set(), []
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core != w and core and (core[-1].isalpha() or core[-1] in "0123456789"):
+                cut.append((w, core, w[len(core) :]))
+                plain.add(core)
+            else:
+                plain.add(w)
+        known, tails = self.known, {t for _, _, t in cut}.difference(self.tails)
+        plain = list(plain.difference(known))
+        known.update(zip(plain, self.encoded([" " + w for w in plain])))
+        self.tails.update(zip(tails, self.encoded(list(tails))))
+        known.update((w, known[core] + self.tails[tail]) for w, core, tail in cut)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.tails.clear()
         known, split = self.known, [t.split(" ") for t in texts]
         new = list(set().union(*(ws[1:-1] for ws in split)).difference(known))
         # A blank after white space may join its token: a text with such a word is encoded whole.
         known.update((w, None) for w in new if not w or w[-1].isspace())
-        new = [w for w in new if w not in known]
-        known.update(zip(new, self.encoded([" " + w for w in new])))
+        self.learn([w for w in new if w not in known])
         ends = self.encoded([e for ws in split for e in (ws[0], " " + ws[-1] if len(ws) > 1 else "")])
         middles = []
         for text, ws in zip(texts, split):
