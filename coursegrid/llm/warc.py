@@ -175,7 +175,9 @@ def serialized() -> Column:
 
 
 def write(derived: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Files of records under `path`, one after another as the format asks, written by Spark's text writer."""
-    derived.select(serialized().alias("value")).write.mode("errorifexists").option("lineSep", "").option(
-        "compression", compression
-    ).text(path)
+    """Files of records under `path`, one after another as the format asks, written by Spark's text writer.
+
+    The writer's line end is the second of the two line ends that close a record.
+    """
+    value = F.regexp_replace(serialized(), "\\r\\n\\z", "").alias("value")
+    derived.select(value).write.mode("errorifexists").options(lineSep=CRLF, compression=compression).text(path)
