@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursegrid.llm import cross_entropy, near_dup, packing, perspective, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
+from coursegrid.llm.shared import settled
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    ledger = secret_ledger.scan(documents)
+    ledger = settled(secret_ledger.scan(documents))
     found = secret_ledger.findings(documents, ledger, path_col="doc_id")
     base = [r.kind for r in secret_ledger.BASE]
     kinds = F.transform("spans", lambda s: s["kind"])

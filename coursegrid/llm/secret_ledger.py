@@ -19,6 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coursegrid.llm.shared import settled
+
 
 class Rule(NamedTuple):
     """Leftmost non-overlapping matches whose group `part` has `least` characters; `hint` must hold for any match."""
@@ -141,13 +143,18 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, cont
 def findings(
     versions: DataFrame, ledger: DataFrame, rules=RULES, path_col: str = "path", content_col: str = "text"
 ) -> DataFrame:
-    """`path, blob, spans` for every input row: the findings of the given rule versions in its content, sorted."""
+    """`path, blob, spans` for every input row: the findings of the given rule versions in its content, sorted.
+
+    Findings are few. Grouped by the content and its hash, they are dealt out once more for the join, which then stands
+    directly over two exchanges, so that Spark can split a content that very many paths hold.
+    """
     current = F.array(*[F.lit(label(r)) for r in rules])
     by_blob = (
         ledger.select("blob", F.filter("spans", lambda s: F.array_contains(current, F.concat_ws(":", s["kind"], s["version"]))).alias("spans"))
         .filter(F.size("spans") > 0)
-        .groupBy("blob")
+        .groupBy("blob", F.xxhash64("blob").alias("spread"))
         .agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+        .drop("spread")
     )
     rows = versions.select(F.col(path_col).alias("path"), blob(F.col(content_col)).alias("blob"))
     return rows.join(by_blob, "blob", "left").select(
@@ -179,7 +186,7 @@ def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
 
 def redact(documents: DataFrame, ledger: DataFrame | None = None, rules=RULES, text_col: str = "text") -> DataFrame:
     """The input rows and columns, every secret in `text_col` replaced; a null text stays null."""
-    fresh = scan(documents, ledger, rules, text_col)
+    fresh = settled(scan(documents, ledger, rules, text_col))
     known = fresh if ledger is None else ledger.unionByName(fresh)
     by_blob = findings(documents, known, rules, text_col, text_col).select("blob", "spans").filter(F.size("spans") > 0)
     names = documents.columns
