@@ -229,6 +229,30 @@ def test_toxicity(spark, documents, rows):
     assert max(r.score for r in toxicity.score(texts, none).collect()) < 1e-6
 
 
+def test_toxicity_by_how_often_a_part_comes(spark):
+    """A part of a word that is once in each text of label 0 and often in those of label 1."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abdeghiklmnorstu"), 6))
+    labels = [(k, int(k % 8 == 0)) for k in range(400)]
+    said = [" ".join(rng.permutation([word() for _ in range(40)] + ["zyx" + word() for _ in range(5 if y else 1)])) for _, y in labels]
+    texts = spark.createDataFrame([(k, t) for (k, _), t in zip(labels, said)], "doc_id long, text string")
+    model = toxicity.train(texts, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r.doc_id: r.score >= 0.5 for r in toxicity.score(texts, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    assert found == {k: bool(y) for k, y in labels if k in found} and any(found.values())
+
+
+def test_regression_ends_at_its_minimum():
+    rng = np.random.default_rng(6)
+    n, width = 400, 30
+    rows, columns = np.nonzero(rng.random((n, width)) < 0.2)
+    values, y = rng.normal(0, 3, width)[columns], (np.arange(n) % 9 == 0).astype(float)
+    w, bias = toxicity._regression(rows, columns, values, y, width)
+    z = np.bincount(rows, values * w[columns], n) + bias
+    error = np.where(y > 0, toxicity.RARE_WEIGHT, 1.0) * (1 / (1 + np.exp(-z)) - y)
+    slope = np.bincount(columns, values * error[rows], width) / n + toxicity.PENALTY * w
+    assert np.abs(slope).max() < 1e-6 and abs(error.mean()) < 1e-6
+
+
 def test_long_text_scores_as_a_whole(spark):
     model = toxicity.Model(np.zeros(toxicity.SLOTS), -1.0)
     slots = next(iter(toxicity.features(["zq"])))
