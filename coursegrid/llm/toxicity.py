@@ -13,8 +13,8 @@ table of SLOTS weights.
 
 Defined cases: each input row gives one row; a null text is empty; an empty text has the score of no features; without labelled
 rows of both kinds the score is the share of label 1 (0 without any) and no text is predicted above it by features; a document with several
-labels counts as 1 if any is; rows without id or label are not learnt from; an empty table gives an empty result; other
-columns are not read. Ids, languages and sources are no features.
+labels counts as 1 if any is, one with several texts is learnt from the smallest of them; rows without id or label are not
+learnt from; an empty table gives an empty result; other columns are not read. Ids, languages and sources are no features.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, codes, np.repeat(np.arange(row - first), [len(p) for p in parts])
 
 
-def _slots(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """For each n, the slot of the n-gram that starts at each code point."""
+def _slots(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n, the slot of the n-gram that starts at each code point. Some run from one text into the next."""
     # Fixed odd multipliers of the hash.
     step, spread = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
     wide = codes.astype(np.uint64)
@@ -81,7 +81,12 @@ def _slots(codes: np.ndarray) -> Iterator[np.ndarray]:
         if n in GRAMS:
             mixed = h ^ (h >> np.uint64(31))
             mixed *= spread
-            yield (mixed >> np.uint64(64 - 20)).astype(np.int64)
+            yield n, (mixed >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def _inside(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Those of the n-grams that end in the text in which they start."""
+    return at[rows[at] == rows[at + n - 1]]
 
 
 def _keys(found: list[np.ndarray]) -> np.ndarray:
@@ -95,7 +100,11 @@ def _keys(found: list[np.ndarray]) -> np.ndarray:
 def features(texts: list[str]) -> Iterator[np.ndarray]:
     """Sorted different slots of each text."""
     for _, codes, rows in _blocks(texts):
-        keys = _keys([rows[: len(s)] * SLOTS + s for s in _slots(codes)])
+        found = []
+        for n, s in _slots(codes):
+            at = _inside(rows, np.arange(len(s)), n)
+            found.append(rows[at] * SLOTS + s[at])
+        keys = _keys(found)
         yield from np.split(keys % SLOTS, np.searchsorted(keys, np.arange(1, rows[-1] + 1) * SLOTS))
 
 
@@ -107,8 +116,8 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
         used |= weighty[np.arange(SLOTS) ^ other]
     for first, codes, rows in _blocks(texts):
         found = []
-        for s in _slots(codes):
-            at = np.flatnonzero(used[s])
+        for n, s in _slots(codes):
+            at = _inside(rows, np.flatnonzero(used[s]), n)
             found.append(rows[at] * SLOTS + s[at])
         keys = _keys(found)
         n = int(rows[-1]) + 1
@@ -234,8 +243,8 @@ def train(
     )
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    learnt = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text")
-    learnt = learnt.withColumn("label", (F.col("label") > 0).cast("int"))
+    learnt = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    learnt = learnt.select((F.col("label") > 0).cast("int").alias("label"), "text")
     counts = learnt.mapInArrow(_count, "part int, df binary").groupBy("part").applyInArrow(_add, "part int, df binary")
     parts = [np.frombuffer(zlib.decompress(r["df"]), np.int32) for r in counts.orderBy("part").collect()]
     n = parts.pop() if parts else np.zeros(2)
