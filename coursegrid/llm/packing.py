@@ -17,81 +17,82 @@ becomes what the tokenizer makes of it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from coursegrid.llm.shared import partitions, settled
 
 END = 0
-#: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 1 << 20
 SWEEPS = 20
-PUNCTUATION = ".,;:!?%*#$&|"
+#: A run of this many bytes without, or with nothing but, white space goes to the plain tokenizer.
+RUN = 1 << 12
+# Fixed value: how byte-level BPE cuts a text before merging.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _bytes_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)).difference(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of texts. Cutting before a blank that follows a non-blank never cuts a token, nor does cutting between a
-    letter or digit and the punctuation after it, so a word with the blank before it can be remembered, and put
-    together from itself and its punctuation."""
+    """Token ids of texts, equal to those of the tokenizer in the file.
+
+    Its vocabulary is read into tiktoken's encoder, which merges in the same order and gives the ids as an array. Texts
+    with the spelling of a special token, or with very long runs, which that encoder takes quadratic time for, go to
+    the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in out]
-
-    def learn(self, new: list[str]) -> None:
-        """Remember words, each with a blank before it."""
-        plain, cut = set(), []
-        for w in new:
-            core = w.rstrip(PUNCTUATION)
-            if core != w and core and (core[-1].isalpha() or core[-1] in "0123456789"):
-                cut.append((w, core, w[len(core) :]))
-                plain.add(core)
-            else:
-                plain.add(w)
-        known, tails = self.known, {t for _, _, t in cut}.difference(self.tails)
-        plain = list(plain.difference(known))
-        known.update(zip(plain, self.encoded([" " + w for w in plain])))
-        self.tails.update(zip(tails, self.encoded(list(tails))))
-        known.update((w, known[core] + self.tails[tail]) for w, core, tail in cut)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        cut = model["pre_tokenizer"] or {}
+        if model["normalizer"] or (cut["type"], cut["add_prefix_space"]) != ("ByteLevel", False):
+            raise ValueError(f"{path} is not a byte-level tokenizer without a normalizer")
+        self.path, self.special = path, [t["content"] for t in model["added_tokens"]]
+        to_byte = _bytes_of()
+        ranks = {
+            bytes(to_byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special
+        }
+        self.fast = tiktoken.Encoding("packing", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def plain(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.tails.clear()
-        known, split = self.known, [t.split(" ") for t in texts]
-        new = list(set().union(*(ws[1:-1] for ws in split)).difference(known))
-        # A blank after white space may join its token: a text with such a word is encoded whole.
-        known.update((w, None) for w in new if not w or w[-1].isspace())
-        self.learn([w for w in new if w not in known])
-        ends = self.encoded([e for ws in split for e in (ws[0], " " + ws[-1] if len(ws) > 1 else "")])
-        middles = []
-        for text, ws in zip(texts, split):
-            parts = [known[w] for w in ws[1:-1]]
-            whole = None in parts or any(s in text for s in self.special)
-            middles.append(None if whole else b"".join(parts))
-        rest = iter(self.encoded([t for t, m in zip(texts, middles) if m is None]))
-        return [
-            next(rest) if m is None else first + m + last for first, last, m in zip(ends[::2], ends[1::2], middles)
-        ]
+        return [self._ids(t).astype("<u4", copy=False).tobytes() for t in texts]
+
+    def _ids(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special) or _has_run(text):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+
+def _has_run(text: str) -> bool:
+    """Whether some piece of a text may be longer than RUN bytes: white space outside ASCII counts as either kind."""
+    if len(text) < RUN // 4:
+        return False
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    ends = (np.flatnonzero(blank), np.flatnonzero(~blank & (data < 0x80)))
+    return any(np.diff(np.concatenate([[-1], at, [len(data)]])).max() > RUN for at in ends)
 
 
 @lru_cache(maxsize=1)
@@ -108,8 +109,8 @@ def _cut(path: str, window: int, keep_ids: bool):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows = []
-                for i, ids in enumerate(encoder(path).ids([t or "" for t in batch.column("text").to_pylist()])):
-                    ids += end
+                for i, text in enumerate(batch.column("text")):
+                    ids = encoder(path).ids([text.as_py() or ""])[0] + end
                     for low in range(0, len(ids), step):
                         piece = ids[low : low + step]
                         rows.append((i, low // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if keep_ids else None))
