@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursegrid.llm import secret_ledger, warc
+from coursegrid.llm import max_sketch, secret_ledger, warc
 from coursegrid.llm.cross_entropy import PRIOR
 from coursegrid.llm.quality_rules import RULES, STOP_WORDS, Rule
 
@@ -221,5 +221,27 @@ SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, 6) AS targe
 FROM d LEFT JOIN s USING (r)"""
 
 
+def max_sketch_sql() -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{max_sketch.UPPER}', '{max_sketch.LOWER}'), '{max_sketch.TERM}')"
+    return rf"""
+WITH q AS (
+  SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({terms}) AS term FROM benchmark) GROUP BY item_id, term),
+d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS ws FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+p AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+scored AS (
+  SELECT item_id, r, doc_id,
+         sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM p JOIN q USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op5_cross_entropy_difference": cross_entropy_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules()}
+    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op5_cross_entropy_difference": cross_entropy_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules(), "op13_max_sketches": max_sketch_sql()}

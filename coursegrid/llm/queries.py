@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import cross_entropy, near_dup, packing, perspective, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
+from coursegrid.llm import cross_entropy, max_sketch, near_dup, packing, perspective, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
 from coursegrid.llm.shared import settled
 
 
@@ -87,5 +87,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(table(spark, folder, "documents"))
 
 
+def op13_max_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return max_sketch.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op5_cross_entropy_difference, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op5_cross_entropy_difference, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules, op13_max_sketches)}
