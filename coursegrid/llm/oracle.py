@@ -221,6 +221,44 @@ SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, 6) AS targe
 FROM d LEFT JOIN s USING (r)"""
 
 
+def prefix_trie_sql() -> str:
+    """CRC-32 bit by bit; a node's subtree are the nodes whose smallest conversation has the node's prefix on its way."""
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: {bit})"
+    codes = "list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)"
+    return f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (
+           PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295] || {codes}, lambda c, b: {byte}), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+u AS (
+  SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = c.base AND p <= h
+  UNION ALL SELECT conv_id, 1, p, role, text FROM t JOIN c USING (conv_id) WHERE p > h),
+v AS (
+  SELECT conv_id, length(text) AS chars, row_number() OVER o AS d,
+         sha256(array_to_string(list(sha256(length(role) || ':' || role || text)) OVER (o ROWS UNBOUNDED PRECEDING), ',')) AS k
+  FROM u WINDOW o AS (PARTITION BY conv_id ORDER BY own, p)),
+way AS (SELECT conv_id, d, k, chars FROM v UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+node AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved FROM way GROUP BY d, k),
+up AS (SELECT n.d, n.k, n.conv_id, w.k AS parent FROM node n JOIN way w ON w.conv_id = n.conv_id AND w.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS k, count(*) AS n FROM up GROUP BY ALL),
+sub AS (
+  SELECT w.d, w.k, sum(n.saved) AS saved, count(*) FILTER (kids.n IS NULL) AS n_leaves
+  FROM node n LEFT JOIN kids USING (d, k) JOIN way w ON w.conv_id = n.conv_id AND w.d <= n.d GROUP BY w.d, w.k),
+last AS (SELECT conv_id, max_by(d, d) AS d, max_by(k, d) AS k FROM way GROUP BY conv_id),
+ends AS (SELECT d, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM last GROUP BY d, k)
+SELECT node.conv_id, node.d AS depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+       sub.n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN sub USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN ends USING (d, k)
+LEFT JOIN up ON up.d = node.d AND up.k = node.k LEFT JOIN node above ON above.d = node.d - 1 AND above.k = up.parent"""
+
+
 def max_sketch_sql() -> str:
     terms = f"regexp_extract_all(translate(coalesce(text, ''), '{max_sketch.UPPER}', '{max_sketch.LOWER}'), '{max_sketch.TERM}')"
     return rf"""
@@ -244,4 +282,4 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op5_cross_entropy_difference": cross_entropy_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules(), "op13_max_sketches": max_sketch_sql()}
+    return {"op1_warc_derivatives": warc_sql(), "op3_winnowing": winnowing_sql(), "op5_cross_entropy_difference": cross_entropy_sql(), "op6_perspective_rotation": perspective_sql(), "op2_secret_ledger": secret_ledger_sql(), "op9_rabin_karp": substring_sql(), "op10_quality_rules": quality_rules(), "op11_prefix_trie": prefix_trie_sql(), "op13_max_sketches": max_sketch_sql()}
