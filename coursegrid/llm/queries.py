@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrid.llm import cross_entropy, max_sketch, near_dup, packing, perspective, prefix_trie, quality_rules, secret_ledger, substring, toxicity, warc, winnowing
+from coursegrid.llm import cross_entropy, max_sketch, near_dup, packing, perspective, prefix_trie, quality_rules, secret_ledger, substring, toxicity, vector_graph, warc, winnowing
 from coursegrid.llm.shared import settled
 
 
@@ -91,9 +91,13 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.tree(table(spark, folder, "conversations"))
 
 
+def op12_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.links(table(spark, folder, "embeddings"))
+
+
 def op13_max_sketches(spark: SparkSession, folder: str) -> DataFrame:
     return max_sketch.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op5_cross_entropy_difference, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules, op11_prefix_trie, op13_max_sketches)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_secret_ledger, op3_winnowing, op4_bbit_minhash, op5_cross_entropy_difference, op6_perspective_rotation, op7_nnls_packing, op8_nb_char_linear, op9_rabin_karp, op10_quality_rules, op11_prefix_trie, op12_pruned_graph, op13_max_sketches)}
