@@ -38,6 +38,8 @@ from coursegrid.llm.components import components
 from coursegrid.llm.shared import settled
 
 LANES, BITS, MISS, MARGIN = 128, 2, 1e-6, 0.25
+#: Rows of either side of a shared shingle that one task compares.
+TILE = 512
 U64 = np.uint64
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, LANES, dtype=U64) * U64(2) + U64(1)
 _SHIFTS = np.random.default_rng(78).integers(0, 1 << 63, LANES, dtype=U64)
@@ -328,15 +330,25 @@ def _crossing(open_: DataFrame, kind: str, shingle: int, threshold: int) -> Data
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(_prefixes(shingle, threshold, count), f"token long, place long, n long, id {kind}, comp {kind}")
     )
-    # The largest component of a token meets the others only, so its rows are not paired with one another.
+    # The largest component of a token meets the others only, so its rows are not paired with one another. A token of many
+    # rows is a rectangle of both sides, cut into tiles of at most TILE rows of either.
     by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    main = by_comp.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("comps"))
-    mixed = rows.join(main.filter("comps > 1").select("token", F.col("m.comp").alias("main")), "token")
-    a, b = mixed.filter("comp <> main").alias("a"), mixed.alias("b")
+    of_token = by_comp.groupBy("token").agg(
+        F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("size").alias("all")
+    )
+    tiles = [F.ceil(n / TILE).alias(c) for n, c in ((F.col("all") - F.col("m.size"), "across"), (F.col("all"), "down"))]
+    main = settled(of_token.filter("comps > 1").select("token", F.col("m.comp").alias("main"), *tiles))
+    mixed = rows.join(main, "token")
+    x, y = (F.pmod(F.xxhash64("id"), F.col(c)) for c in ("across", "down"))
+    every_x, every_y = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("across", "down"))
+    a = mixed.filter("comp <> main").withColumn("x", x).withColumn("y", every_y).alias("a")
+    b = mixed.withColumn("y", y).withColumn("x", every_x).alias("b")
     # Least number of common shingles of two sets of these sizes that reaches the threshold.
     common = F.ceil(F.lit(threshold) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + threshold) - F.lit(1e-9))
     near = (
         (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.x") == F.col("b.x"))
+        & (F.col("a.y") == F.col("b.y"))
         & (F.col("a.comp") != F.col("b.comp"))
         & (F.col("a.n") - F.col("a.place") >= common)
         & (F.col("b.n") - F.col("b.place") >= common)
