@@ -14,6 +14,7 @@ gives an empty ledger and result; input columns other than path and content are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -77,28 +78,29 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     fixed = rule.pattern[: rule.pattern.rindex("[")] if run else ""
     pattern = f"{rule.pattern[:-1]}{{{rule.least - len(_plain(fixed))},}}" if run else rule.pattern
     none = F.array().cast(SPANS)
-    found = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.part)),
-        lambda whole, part: F.struct(F.length(whole).alias("n"), F.length(part).alias("part")),
-    )
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # A match by itself matches again in the same way, so its group need not be looked for in the whole text.
+    part = (lambda w: F.length(F.regexp_extract(w, pattern, rule.part))) if rule.part else F.length
+    found = F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), part(w).alias("part")))
     parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), found.alias("hit"))
     state = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.coalesce(x["hit"]["n"], F.lit(0))
-        span = F.struct(
-            start.alias("start"),
-            F.lit(rank).alias("rank"),
-            end.alias("end"),
-            F.lit(rule.kind).alias("kind"),
-            F.lit(rule.version).alias("version"),
-        )
         keep = F.coalesce(x["hit"]["part"] >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(keep, F.concat(s["out"], F.array(span(start, end)))).otherwise(s["out"]).alias("out"))
+
+    def span(start: Column, end: Column) -> Column:
+        named = (start, "start"), (F.lit(rank), "rank"), (end, "end"), (F.lit(rule.kind), "kind"), (F.lit(rule.version), "version")
+        return F.struct(*[c.alias(n) for c, n in named])
+
+    # Each group of matches from 0, then moved on by the length of the groups before: linear in the number of matches.
+    def moved(groups: Column) -> Column:
+        before = totals_before(F.transform(groups, lambda g: g["at"]), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(groups, before, lambda g, o: F.transform(g["out"], lambda s: span(s["start"] + o, s["end"] + o)))
 
-    spans = F.aggregate(parts, state, step, lambda s: s["out"])
+    spans = F.flatten(once(F.transform(in_groups(parts), lambda g: F.aggregate(g, state, step)), moved))
     folded = F.lower(text) if rule.any_case else text
     likely = F.lit(False) if rule.hints else text.rlike(pattern)
     for hint in rule.hints:
@@ -106,6 +108,30 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(likely, spans).otherwise(none)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it stands in there, inside further functions too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def in_groups(items: Column) -> Column:
+    """An array cut into about as many groups as each group has items: folds that append copy what they have so far."""
+
+    def cut(items: Column) -> Column:
+        n = F.size(items)
+        step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step), lambda i: F.slice(items, i + 1, step))
+
+    return once(items, cut)
+
+
+def totals_before(numbers: Column, first: Column, add) -> Column:
+    """For each of some numbers, `first` and the numbers before it, put together by `add`."""
+    state = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        numbers, state, lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"]
+    )
+
+
 def _plain(fixed: str) -> str:
     """One character for each character class with its repetition: the least length of a pattern's fixed part."""
     out, inside = "", False
@@ -169,19 +195,26 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
     """The text with every span, or run of overlapping spans, replaced by `mark`."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        apart = x["start"] >= s["at"]
-        between = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, between).otherwise(s["out"]).alias("out")
-        )
-
-    whole = F.aggregate(
-        spans, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    )
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def of_group(g: Column, start: Column) -> Column:
+        """From the end of the spans before the group to the end of its own, cut out once, so that no span counts from the text's start."""
+        end = F.array_max(F.transform(g, lambda s: s["end"]))
+        before = totals_before(F.transform(g, lambda s: s["end"]), start, F.greatest)
+
+        def pieces(own: Column) -> Column:
+            piece = lambda s, at: F.when(
+                s["start"] >= at, F.concat(F.substring(own, at - start + 1, s["start"] - at), F.lit(mark))
+            ).otherwise("")
+            return F.array_join(F.zip_with(g, before, piece), "")
+
+        return once(F.substring(text, start + 1, F.greatest(end - start, F.lit(0))), pieces)
+
+    def of_all(groups: Column) -> Column:
+        last = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda s: s["end"])))
+        tail = F.substring(text, F.array_max(last) + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(groups, totals_before(last, F.lit(0), F.greatest), of_group), ""), tail)
+
+    return F.when(F.size(spans) > 0, once(in_groups(spans), of_all)).otherwise(text)
 
 
 def redact(documents: DataFrame, ledger: DataFrame | None = None, rules=RULES, text_col: str = "text") -> DataFrame:
