@@ -111,6 +111,26 @@ def filter_titles(registrations: DataFrame, courses) -> DataFrame:
     return registrations.filter(title.isin(sorted(titles)))
 
 
+def courses_of_subjects(table: DataFrame, subjects) -> DataFrame:
+    """Names and titles of the courses that have one of the subjects in some row."""
+    subjects = [subjects] if isinstance(subjects, str) else list(subjects)
+    return table.filter(F.col("subject").isin(subjects)).select("course_name", "course_title").distinct()
+
+
+def filter_courses_and_pools(registrations: DataFrame, courses: DataFrame) -> DataFrame:
+    """All rows of the given courses, and the cross-listed rows with their titles.
+
+    A cross-list pool shares a title, so the facts of the given courses are the same without the
+    other rows. Facts of other courses may be incomplete then.
+    """
+    named = courses.select(
+        F.coalesce("course_title", F.lit("NA")).alias("_title"), F.col("course_name").alias("_name")
+    ).distinct()
+    same_title = F.coalesce("course_title", F.lit("NA")) == F.col("_title")
+    needed = F.col("xlist_section1").isNotNull() | F.col("course_name").eqNullSafe(F.col("_name"))
+    return registrations.join(named, same_title & needed, "left_semi")
+
+
 def clean_registrations(
     registrations: DataFrame,
     capacity: DataFrame,
@@ -119,6 +139,8 @@ def clean_registrations(
     regular_only: bool = True,
     excluded_terms=(),
     courses=None,
+    about=None,
+    catalogue: DataFrame | None = None,
     excluded_years=(),
     collapse: bool = False,
 ) -> DataFrame:
@@ -126,13 +148,18 @@ def clean_registrations(
 
     The filters run on the registrations before the join. With `courses` or `excluded_years`
     only rows that facts of those courses and the other years need are read; questions still
-    choose among the facts. With `collapse`, a section id with
+    choose among the facts. `about` does the same for the courses that have one of these
+    subjects in some row; a `catalogue` of courses with their subjects, if there is one, saves
+    looking for them in the registrations. With `collapse`, a section id with
     many capacity records gives one row with their number and sum instead of many rows; the
     facts come out the same and no id can multiply rows.
     """
     rows = exclude_input_terms(registrations, excluded_terms)
     if courses is not None:
         rows = filter_titles(rows, courses)
+    if about is not None:
+        known = registrations if catalogue is None else catalogue
+        rows = filter_courses_and_pools(rows, courses_of_subjects(known, about))
     known_year = excluding(F.col("reporting_year"), excluded_years)
     if known_year is not None:
         rows = rows.filter(known_year)

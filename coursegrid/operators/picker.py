@@ -131,16 +131,18 @@ def rated_courses(facts: DataFrame, excluded_terms=()) -> DataFrame:
 
 
 def course_picker(
-    facts: DataFrame, subject: str, *, min_capacity=6, min_years=3, excluded_terms=()
+    facts: DataFrame, subject: str, *, min_capacity=6, min_years=3, excluded_terms=(), first_look=True
 ) -> DataFrame:
     """Courses of a subject by average capacity and number of years offered.
 
     Only courses with the subject in some row are rated. On stored facts that first look reads
-    two columns, and its filter reaches the scan.
+    two columns, and its filter reaches the scan. Facts straight from raw rows would be derived
+    twice for it; there `clean_registrations(about=...)` keeps other subjects out instead.
     """
-    of_subject = facts.filter(F.col("subject") == subject).select("course").distinct()
-    candidates = facts.join(of_subject, "course", "left_semi")
-    return rated_courses(candidates, excluded_terms).filter(
+    if first_look:
+        of_subject = facts.filter(F.col("subject") == subject).select("course").distinct()
+        facts = facts.join(of_subject, "course", "left_semi")
+    return rated_courses(facts, excluded_terms).filter(
         (F.col("full_avg_capacity") >= min_capacity)
         & (F.col("subject") == subject)
         & (F.col("total_years_offered") >= min_years)

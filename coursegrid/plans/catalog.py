@@ -70,13 +70,15 @@ class Tables:
         """The facts and the reporting years of their rows, from one scan."""
         return facts.facts_and_years(self.rows(collapse=True))
 
-    def facts_of(self, courses=None, excluded_years=()) -> DataFrame:
-        """Facts from no more rows than questions about some courses or years need."""
+    def facts_of(self, courses=None, excluded_years=(), about=None) -> DataFrame:
+        """Facts from no more rows than questions about some courses, years or subjects need."""
         rows = clean.clean_registrations(
             self.registrations,
             self.capacity,
             excluded_terms=EXCLUDED_INPUT_TERMS,
             courses=courses,
+            about=about,
+            catalogue=demo.courses(self.spark, self.folder),
             excluded_years=excluded_years,
             collapse=True,
         )
@@ -185,26 +187,32 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "year_spine": lambda t: spines.year_spine(t.in_scope),
     # discipline
     "discipline_by_level": lambda t: discipline.discipline_by_level(
-        t.facts_of(excluded_years=EXCLUDED_YEARS), SUBJECT, **TERMS_AND_YEARS
+        t.facts_of(excluded_years=EXCLUDED_YEARS, about=SUBJECT), SUBJECT, **TERMS_AND_YEARS
     ),
     "discipline_guard": lambda t: discipline.discipline_by_level(
-        t.facts_of(excluded_years=EXCLUDED_YEARS), ["UNKNOWN", SUBJECT], **TERMS_AND_YEARS
+        t.facts_of(excluded_years=EXCLUDED_YEARS, about=["UNKNOWN", SUBJECT]),
+        ["UNKNOWN", SUBJECT],
+        **TERMS_AND_YEARS,
     ),
     "discipline_titled": lambda t: courses.titled(
         discipline.discipline_by_level(
-            t.facts_of(excluded_years=EXCLUDED_YEARS), SUBJECT, **TERMS_AND_YEARS
+            t.facts_of(excluded_years=EXCLUDED_YEARS, about=SUBJECT), SUBJECT, **TERMS_AND_YEARS
         ),
         courses.ENROLLMENT_TITLE,
         F.lit(SUBJECT),
     ),
-    "discipline_derived_level": lambda t: discipline.discipline_derived_level(t.facts, SUBJECT),
+    "discipline_derived_level": lambda t: discipline.discipline_derived_level(
+        t.facts_of(about=SUBJECT), SUBJECT
+    ),
     # picker
     "capacity_stats": lambda t: picker.capacity_stats(t.facts, EXCLUDED_TERMS),
     "years_offered": lambda t: picker.years_offered(t.facts, EXCLUDED_TERMS),
     "total_offered": lambda t: picker.total_offered(t.facts, EXCLUDED_TERMS),
     "total_offered_all_terms": lambda t: picker.total_offered(t.facts),
     "rated_courses": lambda t: picker.rated_courses(t.facts, EXCLUDED_TERMS),
-    "course_picker": lambda t: picker.course_picker(t.facts, SUBJECT, **TERMS),
+    "course_picker": lambda t: picker.course_picker(
+        t.facts_of(about=SUBJECT), SUBJECT, first_look=False, **TERMS
+    ),
     "section_weighted_capacity": lambda t: picker.section_weighted_capacity(t.facts),
     "total_capacity": lambda t: picker.total_capacity(t.facts, EXCLUDED_TERMS),
     "total_capacity_terms": lambda t: picker.total_capacity_terms(t.facts, EXCLUDED_TERMS),
@@ -217,7 +225,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         t.facts_of(t.chosen), t.chosen, **TERMS_AND_YEARS
     ),
     "axis_limits_discipline": lambda t: discipline.axis_limits(
-        t.facts_of(excluded_years=EXCLUDED_YEARS), SUBJECT, **TERMS_AND_YEARS
+        t.facts_of(excluded_years=EXCLUDED_YEARS, about=SUBJECT), SUBJECT, **TERMS_AND_YEARS
     ),
     "distinct_subjects": lambda t: spines.distinct_subjects(clean.unite_course(t.in_scope)),
     "distinct_courses": lambda t: spines.distinct_courses(clean.unite_course(t.in_scope)),

@@ -1,9 +1,11 @@
 """Named questions over one set of facts."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from coursegrid.functions.nulls import paste
 from coursegrid.operators import courses, discipline, facts, picker, seats, spines, trends
-from coursegrid.operators.clean import clean_registrations, normalize_capacity
+from coursegrid.operators.clean import clean_registrations, courses_of_subjects, normalize_capacity
 from coursegrid.schemas import (
     PANDEMIC_INPUT_TERMS,
     PANDEMIC_TERMS,
@@ -61,12 +63,14 @@ class Registrar:
         excluded_input_terms=PANDEMIC_INPUT_TERMS,
         sections=SECTION_DOMAIN,
         chosen=None,
+        about=None,
         **options,
     ) -> "Registrar":
         """Wrangle the raw tables (`schemas.REGISTRATIONS`, `schemas.CAPACITY`).
 
         With `chosen`, names or a table of courses, only what facts of these courses need is
-        read; the questions are then about them, and so are the time axes.
+        read; the questions are then about them, and so are the time axes. `about` does so for the
+        courses that have one of these subjects in some row.
         """
         rows = clean_registrations(
             registrations,
@@ -75,11 +79,15 @@ class Registrar:
             regular_only=regular_only,
             excluded_terms=excluded_input_terms,
             courses=chosen,
+            about=about,
             collapse=True,
         )
         table, years = facts.facts_and_years(rows, sections)
         if chosen is not None:
             table = courses.choose(table, chosen)
+        if about is not None:
+            named = courses_of_subjects(registrations, about)
+            table = courses.choose(table, named.select(paste(": ", F.col("course_name"), F.col("course_title")).alias("course")))
         return cls(table, years=years, registrations=registrations, **options)
 
     @property
