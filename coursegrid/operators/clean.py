@@ -1,6 +1,6 @@
 """Section rows: scope, capacity, keys."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursegrid.functions.nulls import excluding, paste
@@ -61,9 +61,12 @@ def crosslisted(rows: DataFrame) -> DataFrame:
 
 def project_registrations(registrations: DataFrame) -> DataFrame:
     """The used columns, latest year first; the section id makes the order total."""
-    return registrations.orderBy(
-        F.desc("reporting_year"), F.asc_nulls_last("course_section_id")
-    ).select(*USED_COLUMNS)
+    return registrations.orderBy(*latest_first()).select(*USED_COLUMNS)
+
+
+def latest_first() -> list[Column]:
+    """The order of the section rows: latest year first, then by section id."""
+    return [F.desc_nulls_last("reporting_year"), F.asc_nulls_last("course_section_id")]
 
 
 def split_input_term(registrations: DataFrame) -> DataFrame:
@@ -143,6 +146,7 @@ def clean_registrations(
     catalogue: DataFrame | None = None,
     excluded_years=(),
     collapse: bool = False,
+    source_order: str | None = None,
 ) -> DataFrame:
     """Section rows in scope, with capacity and with the section key.
 
@@ -152,7 +156,8 @@ def clean_registrations(
     subjects in some row; a `catalogue` of courses with their subjects, if there is one, saves
     looking for them in the registrations. With `collapse`, a section id with
     many capacity records gives one row with their number and sum instead of many rows; the
-    facts come out the same and no id can multiply rows.
+    facts come out the same and no id can multiply rows. `source_order` names a column with the
+    place of a row in its source; it is kept under that name and lets the facts carry first values.
     """
     rows = exclude_input_terms(registrations, excluded_terms)
     if courses is not None:
@@ -173,6 +178,8 @@ def clean_registrations(
         rows = join_capacity(rows, capacity)
     columns = [c for c in USED_COLUMNS if c != "acad_year_term"]
     extra = ["capacity_records"] if collapse else []
+    if source_order is not None:
+        extra.append(F.col(source_order).alias("source_order"))
     rows = split_input_term(rows).select(
         "course_section_id", "term_year", "semester", *columns, "section_capacity", *extra
     )

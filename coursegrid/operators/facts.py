@@ -15,18 +15,22 @@ from coursegrid.operators.totals import with_group_totals
 from coursegrid.schemas import FACTS, SECTION_DOMAIN, wide_schema
 
 ATTRIBUTES = ["subject", "course_number", "course_level"]
+SOURCE_ORDER = "source_order"
 
 
 def section_totals(rows: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
     """Collapse section rows to one row per course, year and section before anything else.
 
     Sections outside the domain become one null section. The result has few rows per group
-    however hot a course is; all aggregates have fixed-width buffers and combine map-side.
+    however hot a course is; all aggregates have fixed-width buffers and combine map-side. The
+    rows of a group share their attributes, so the place of the first one is all that a
+    `source_order` has to carry.
     """
     copies = (
         F.coalesce("capacity_records", F.lit(1)) if "capacity_records" in rows.columns else F.lit(1)
     )
     key = F.col("section")
+    place = [F.min(SOURCE_ORDER).alias(SOURCE_ORDER)] if SOURCE_ORDER in rows.columns else []
     return rows.groupBy(
         "course_name",
         "course_title",
@@ -39,6 +43,7 @@ def section_totals(rows: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
         F.sum(F.when(F.col("enrolled").isNull(), copies).otherwise(0)).alias("n_unknown"),
         sum_known(F.col("enrolled") * copies).alias("enrolled"),
         sum_known(F.col("section_capacity")).alias("capacity"),
+        *place,
     )
 
 
@@ -71,7 +76,8 @@ def course_year_facts(rows: DataFrame, sections=SECTION_DOMAIN) -> DataFrame:
 
     One exchange by course and year serves the yearly capacity, the course attributes and the
     section sums; a course-year has at most one collapsed row per section, cross-list flag and
-    attribute combination there.
+    attribute combination there. Where attributes differ within a course-year, the smallest known
+    value is carried, or, if the rows have a `source_order`, the first value, even if it is null.
     """
     return facts_and_years(rows, sections)[0]
 
@@ -81,8 +87,11 @@ def facts_and_years(rows: DataFrame, sections=SECTION_DOMAIN) -> tuple[DataFrame
 
     A question that needs both, like a gap-filled axis, scans the registrations once.
     """
+    totals = section_totals(rows, sections)
     sums = [F.sum(m).alias(m) for m in ("n_rows", "n_unknown", "enrolled", "capacity")]
-    collapsed = section_totals(rows, sections).observe(f"section_totals_{uuid.uuid4().hex}", *sums)
+    if SOURCE_ORDER in totals.columns:
+        sums.append(F.min(SOURCE_ORDER).alias(SOURCE_ORDER))
+    collapsed = totals.observe(f"section_totals_{uuid.uuid4().hex}", *sums)
     return _facts(collapsed), collapsed.select("reporting_year").distinct()
 
 
@@ -91,6 +100,11 @@ def _facts(collapsed: DataFrame) -> DataFrame:
     united = totals.withColumn("course", paste(": ", F.col("course_name"), F.col("course_title")))
     by_course = united.repartition("course", "reporting_year")
     course_year = Window.partitionBy("course", "reporting_year")
+    if SOURCE_ORDER in united.columns:
+        first = F.min(_source_rank()).over(course_year)
+        carried = [first[a].alias(a) for a in ATTRIBUTES]
+    else:
+        carried = [F.min(a).over(course_year).alias(a) for a in ATTRIBUTES]
     whole_year = by_course.select(
         "course",
         "reporting_year",
@@ -98,7 +112,7 @@ def _facts(collapsed: DataFrame) -> DataFrame:
         "enrolled",
         "capacity",
         F.sum("capacity").over(course_year).alias("yearly_capacity"),
-        *[F.min(a).over(course_year).alias(a) for a in ATTRIBUTES],
+        *carried,
     )
     facts = whole_year.groupBy(
         "course", "reporting_year", "section_key", "yearly_capacity", *ATTRIBUTES
@@ -112,10 +126,25 @@ def _facts(collapsed: DataFrame) -> DataFrame:
     ).select(*FACTS.fieldNames())
 
 
+def _source_rank() -> Column:
+    """Sorts the rows of a course-year as they stand after pooling, with their attributes.
+
+    Cross-listed rows come first, then source order; rows without a place come last, and rows at
+    one place by their attributes. The attributes of the smallest are the first ones, nulls included.
+    """
+    return F.struct(
+        (~F.col("is_crosslisted")).alias("single"),
+        F.col(SOURCE_ORDER).isNull().alias("unplaced"),
+        SOURCE_ORDER,
+        *ATTRIBUTES,
+    )
+
+
 def attribute_conflicts(rows: DataFrame) -> DataFrame:
     """Course-years whose rows differ in subject, number or level, with the number of values.
 
-    The facts take the smallest known value there; this tells where that choice mattered.
+    The facts take the smallest known value there, or with a source order the first one; this
+    tells where that choice mattered.
     """
     values = [F.collect_set(F.coalesce(F.col(a).cast("string"), F.lit("NA"))) for a in ATTRIBUTES]
     years = unite_course(rows).groupBy("course", "reporting_year").agg(

@@ -1,6 +1,6 @@
 """Enrollment trends by course title, straight from the registrations."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursegrid.functions.nulls import sum_all
@@ -25,10 +25,15 @@ def title_year(registrations: DataFrame, subjects=None) -> DataFrame:
         title_term(registrations, subjects)
         .groupBy("course_title", "reporting_year")
         .agg(sum_all(F.col("enrolled")).alias("enrolled"))
-        .orderBy(F.asc_nulls_last("reporting_year"), F.asc_nulls_last("course_title"))
+        .orderBy(*earliest_first())
     )
 
 
+def earliest_first() -> list[Column]:
+    """The order of the title years: earliest year first, then by title."""
+    return [F.asc_nulls_last("reporting_year"), F.asc_nulls_last("course_title")]
+
+
 def title_term_split(registrations: DataFrame, subjects=None, semester=None) -> DataFrame:
     """Title terms with year and semester apart, for one semester if given."""
     rows = split_input_term(title_term(registrations, subjects))

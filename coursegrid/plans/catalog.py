@@ -11,12 +11,14 @@ from coursegrid.operators import (
     courses,
     discipline,
     facts,
+    order,
     picker,
     pool,
     seats,
     spines,
     trends,
 )
+from coursegrid.plans.registrar import LABEL_SECTIONS, SHOW_SECTIONS, Registrar
 from coursegrid.sources import demo, io
 
 # Parameters of the questions on the given tables.
@@ -65,6 +67,28 @@ class Tables:
     def facts(self) -> DataFrame:
         return facts.course_year_facts(self.rows(collapse=True))
 
+    @property
+    def first_value_facts(self) -> DataFrame:
+        """Facts that carry the attributes of the first row, from rows that differ in them."""
+        rows = clean.clean_registrations(
+            demo.registrations(self.spark, self.folder, own_levels=True),
+            self.capacity,
+            excluded_terms=EXCLUDED_INPUT_TERMS,
+            collapse=True,
+            source_order="source_order",
+        )
+        return facts.course_year_facts(rows)
+
+    @property
+    def registrar(self) -> Registrar:
+        """The facade over the raw tables."""
+        return Registrar.from_registrations(
+            self.registrations,
+            self.raw_capacity,
+            excluded_input_terms=EXCLUDED_INPUT_TERMS,
+            **TERMS_AND_YEARS,
+        )
+
     @property
     def facts_and_years(self) -> tuple[DataFrame, DataFrame]:
         """The facts and the reporting years of their rows, from one scan."""
@@ -120,6 +144,9 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_registrations": lambda t: t.registrations,
     "scan_capacity": lambda t: t.capacity,
     "project_registration": lambda t: clean.project_registrations(t.registrations),
+    "placed_registrations": lambda t: order.placed(
+        t.registrations, ["reporting_year", "course_section_id"], clean.latest_first()
+    ),
     "preview_top6": lambda t: courses.preview(facts.to_wide(t.facts)),
     "filter_subjects": lambda t: clean.filter_subjects(t.registrations, SUBJECTS),
     "filter_schedule_null": lambda t: clean.filter_regular(t.registrations),
@@ -144,6 +171,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "course_year_facts": lambda t: t.facts,
     "wide_facts": lambda t: facts.to_wide(t.facts),
     "wide_facts_subjects": lambda t: facts.to_wide(t.subject_facts),
+    "wide_facts_first_values": lambda t: facts.to_wide(t.first_value_facts),
     "csv_roundtrip": lambda t: t.csv_roundtrip(),
     # sections and terms
     "section_long": lambda t: courses.section_terms(t.facts, EXCLUDED_TERMS),
@@ -232,8 +260,22 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # title trends
     "title_term": lambda t: trends.title_term(t.registrations, SUBJECTS),
     "title_year": lambda t: trends.title_year(t.registrations, SUBJECTS),
+    "placed_title_years": lambda t: order.placed(
+        trends.title_year(t.registrations, SUBJECTS),
+        ["reporting_year", "course_title"],
+        trends.earliest_first(),
+    ),
     "title_term_split": lambda t: trends.title_term_split(t.registrations, SUBJECTS, "FA"),
     "course_id_terms": lambda t: trends.course_id_terms(t.registrations, COURSE_ID),
+    # the facade, one question per mode
+    "mode_year": lambda t: t.registrar.open_seats("Year"),
+    "mode_semester": lambda t: t.registrar.open_seats("Semester"),
+    "mode_line": lambda t: t.registrar.enrollment_chart("Year", settings=[SHOW_SECTIONS])["line"],
+    "mode_sections": lambda t: t.registrar.enrollment_chart(settings=[SHOW_SECTIONS])["sections"],
+    "mode_labelled_sections": lambda t: t.registrar.enrollment_chart(
+        settings=[SHOW_SECTIONS, LABEL_SECTIONS]
+    )["sections"],
+    "mode_title_year": lambda t: t.registrar.title_trend("Year", SUBJECTS),
 }
 
 

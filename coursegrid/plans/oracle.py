@@ -30,7 +30,6 @@ _OF_SUBJECTS = f"subject IN ({_texts(SUBJECTS)})"
 SCOPE = f"schedule_type IS NULL AND acad_year_term NOT IN ({INPUT_TERMS})"
 # Queries with a scope of their own.
 SCOPES = {"wide_facts_subjects": _OF_SUBJECTS}
-
 # Each step may use the ones before it; `scope` is filled in per query.
 STEPS = {
     "sized": """
@@ -187,6 +186,33 @@ STEPS = {
         FROM years LEFT JOIN offered USING (course, reporting_year) GROUP BY course""",
 }
 
+# Steps in place of others, where section rows state levels of their own and first values count.
+FIRST_VALUES = {
+    "reg": {
+        "stated": STEPS["reg"].replace("FROM sized", ", l_linenumber, l_linestatus FROM sized"),
+        "reg": """
+        SELECT * EXCLUDE (l_linestatus)
+               REPLACE (CASE WHEN l_linenumber % 3 <> 0 THEN course_level || l_linestatus END
+                        AS course_level)
+        FROM stated""",
+    },
+    "years": {
+        "known_years": STEPS["years"],
+        "first_rows": """
+        SELECT course, reporting_year, subject, course_number, course_level
+        FROM united
+        QUALIFY row_number() OVER (
+            PARTITION BY course, reporting_year
+            ORDER BY xlist_section1 IS NULL, course_section_id * 8 + l_linenumber,
+                     course_level NULLS FIRST) = 1""",
+        "years": """
+        SELECT k.* REPLACE (f.subject AS subject, f.course_number AS course_number,
+                            f.course_level AS course_level)
+        FROM known_years k JOIN first_rows f USING (course, reporting_year)""",
+    },
+}
+REPLACED = {"wide_facts_first_values": FIRST_VALUES}
+
 WIDE_CELLS = ", ".join(
     f"coalesce(sum(enrolled) FILTER (section = '{k}'), 0) AS {k}" for k in SECTION_DOMAIN
 )
@@ -301,6 +327,9 @@ QUERIES = {
     "wide_facts": WIDE,
     "wide_facts_subjects": WIDE,
     "csv_roundtrip": WIDE,
+    "wide_facts_first_values": WIDE,
+    "placed_registrations": """SELECT *, rank() OVER (
+        ORDER BY reporting_year DESC NULLS LAST, course_section_id NULLS LAST) AS place FROM reg""",
     "section_long": """SELECT course, reporting_year, semester_year, term, semester, section,
         enrolled, subject, course_level, yearly_capacity FROM sections""",
     "section_long_from_wide": "SELECT * EXCLUDE (course_number) FROM sections",
@@ -430,12 +459,27 @@ QUERIES = {
         FROM ({_TITLES.format(where=_OF_SUBJECTS)}) WHERE acad_year_term LIKE '%FA'""",
     "course_id_terms": _TITLES.format(where=f"course_id = {COURSE_ID}"),
 }
+_CHART = "'Enrollment for ' || course AS title"
+QUERIES |= {
+    "placed_title_years": f"""SELECT *, rank() OVER (
+        ORDER BY reporting_year NULLS LAST, course_title NULLS LAST) AS place
+        FROM ({QUERIES["title_year"]})""",
+    "mode_year": QUERIES["open_seats_yearly"],
+    "mode_semester": QUERIES["open_seats_semester"],
+    "mode_line": f"SELECT *, {_CHART} FROM yearly",
+    "mode_sections": QUERIES["section_marks"],
+    "mode_labelled_sections": f"SELECT *, section AS label FROM ({QUERIES['section_marks']})",
+    "mode_title_year": QUERIES["title_year"],
+}
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {}
     for name, body in QUERIES.items():
-        steps = {**STEPS, "clean": STEPS["clean"].format(scope=SCOPES.get(name, SCOPE))}
+        steps = {}
+        for step, text in STEPS.items():
+            steps |= REPLACED.get(name, {}).get(step, {step: text})
+        steps["clean"] = steps["clean"].format(scope=SCOPES.get(name, SCOPE))
         listed = ",\n".join(f"{step} AS ({text})" for step, text in steps.items())
         sql[name] = f"WITH {listed}\n{body}"
     return sql

@@ -64,13 +64,16 @@ class Registrar:
         sections=SECTION_DOMAIN,
         chosen=None,
         about=None,
+        source_order: str | None = None,
         **options,
     ) -> "Registrar":
         """Wrangle the raw tables (`schemas.REGISTRATIONS`, `schemas.CAPACITY`).
 
         With `chosen`, names or a table of courses, only what facts of these courses need is
         read; the questions are then about them, and so are the time axes. `about` does so for the
-        courses that have one of these subjects in some row.
+        courses that have one of these subjects in some row. `source_order` names a column with
+        the place of a row in its source: course-years then carry the attributes of their first
+        row, cross-listed rows before others, and not the smallest known ones.
         """
         rows = clean_registrations(
             registrations,
@@ -81,6 +84,7 @@ class Registrar:
             courses=chosen,
             about=about,
             collapse=True,
+            source_order=source_order,
         )
         table, years = facts.facts_and_years(rows, sections)
         if chosen is not None:

@@ -11,7 +11,7 @@ from coursegrid.schemas import CAPACITY, REGISTRATIONS
 
 # Only the columns in use; a given schema saves the footer reads of schema inference.
 LINES = (
-    "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, "
+    "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
     "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
 )
 PARTS = "p_partkey long, p_name string, p_type string, p_size int"
@@ -34,7 +34,9 @@ def courses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def registrations(spark: SparkSession, folder: str) -> DataFrame:
+def registrations(spark: SparkSession, folder: str, *, own_levels: bool = False) -> DataFrame:
+    """With `own_levels` each section row states a level of its own, some none, and has its place in
+    the source in a column `source_order`, so that the rows of a course-year differ."""
     lines = spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet")
     year, month = F.year("l_shipdate"), F.month("l_shipdate")
     semester = F.when(month <= 5, "SP").when(month <= 7, "SU").otherwise("FA")
@@ -58,9 +60,13 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
         ),
     }
     joined = lines.join(courses(spark, folder), F.col("l_partkey") == F.col("course_id"))
-    return joined.select(
-        *[columns.get(f, F.col(f)).alias(f) for f in REGISTRATIONS.fieldNames()]
-    )
+    fields = REGISTRATIONS.fieldNames()
+    if own_levels:
+        stated = F.concat("course_level", "l_linestatus")
+        columns["course_level"] = F.when(F.col("l_linenumber") % 3 != 0, stated)
+        columns["source_order"] = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+        fields = [*fields, "source_order"]
+    return joined.select(*[columns.get(f, F.col(f)).alias(f) for f in fields])
 
 
 def capacity(spark: SparkSession, folder: str) -> DataFrame:

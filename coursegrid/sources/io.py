@@ -54,10 +54,26 @@ def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
 
 
 def read_registrations(
-    spark: SparkSession, path: str, fmt: str = "parquet", *, text_ids: bool = False
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    *,
+    text_ids: bool = False,
+    source_order: str | None = None,
 ) -> DataFrame:
-    """`text_ids`: the section ids are texts, not numbers."""
-    return _read(spark, path, with_text_ids(REGISTRATIONS) if text_ids else REGISTRATIONS, fmt)
+    """`text_ids`: the section ids are texts, not numbers.
+
+    `source_order` names a column to add with the place of a row: its file, by path, and its number
+    there. Only Parquet files number their rows.
+    """
+    if source_order is not None and fmt != "parquet":
+        raise ValueError(f"{fmt} files do not number their rows")
+    schema = with_text_ids(REGISTRATIONS) if text_ids else REGISTRATIONS
+    rows = _read(spark, path, schema, fmt)
+    if source_order is None:
+        return rows
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias(source_order)
+    return rows.select(*schema.fieldNames(), place)
 
 
 def read_capacity(

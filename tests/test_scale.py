@@ -217,7 +217,7 @@ def nodes(plan):
     return [plan, *(n for p in inner for n in nodes(p))]
 
 
-@pytest.mark.parametrize("name", ["course_semester_selected", "complete_terms", "seat_class_yearly", "complete_years"])
+@pytest.mark.parametrize("name", ["course_semester_selected", "complete_terms", "seat_class_yearly", "complete_years", "wide_facts_first_values"])
 def test_choices_and_axes_scan_once(spark, folder, no_broadcast, name):
     df = queries()[name](spark, folder)
     df.collect()
