@@ -82,18 +82,18 @@ def perspective_sql() -> str:
 
     return f"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(floor(turn / 256), -1)::BIGINT AS part FROM conversations),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS place, place // 256 AS part
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 s AS (
-  SELECT t.conv_id, perspective, part, turn, role, text, role = perspective AS own,
+  SELECT t.conv_id, perspective, part, place, role, text, role = perspective AS own,
          '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
            ELSE 'user name=' || regexp_replace({plain('role')}, '[\\r\\n]+', ' ', 'g') END || chr(10) AS head,
          {plain('text')} || '<|im_end|>' AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
   SELECT *, (sum(length(head) + length(body) + 1) OVER
-         (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text))::BIGINT - 1 AS e FROM s)
+         (PARTITION BY conv_id, perspective, part ORDER BY place))::BIGINT - 1 AS e FROM s)
 SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own_turns,
        string_agg(head || body || chr(10), '' ORDER BY e) AS text,
        string_agg((e - length(body)) || ':' || e, ',' ORDER BY e) FILTER (own) AS mask

@@ -4,13 +4,14 @@ For each participant the dialogue is rendered with their turns as `assistant`, t
 their name, system turns unchanged. `mask` lists the code point spans that the participant says, end-of-turn mark included,
 and that a model would be trained on.
 
-A dialogue is rendered in parts of `turns_per_part` consecutive turn numbers, one row each; parts in order give the whole
-dialogue, so no row or task has to hold a dialogue of any length. The texts are shuffled once, by dialogue and part: the
-participants of a part come from a small table without texts that is shuffled on the same key. Only built-in functions.
+A dialogue is rendered in parts of `turns_per_part` consecutive turns, one row each; parts in order give the whole dialogue,
+so no row or task has to hold a dialogue of any length. The turns are numbered without their texts, by ranges of dialogue
+and order, so that turns at one number, or without one, are cut into parts like all others. Texts are shuffled
+twice: to fold copies and take their number, and to meet the other turns of their part. Only built-in functions.
 
 Defined cases: rows that are equal in dialogue, turn, speaker and text are one turn; different rows at one turn number come
-in order of speaker, then text; a null text is an empty turn; a null speaker is a participant named `unknown`; a null turn
-number sorts before all others in a part of its own; null dialogue ids form one dialogue; a dialogue of system turns alone
+in order of speaker, then of the SHA-256 of the text; a null text is an empty turn; a null speaker is a participant named
+`unknown`; a null turn number sorts before all others; null dialogue ids form one dialogue; a dialogue of system turns alone
 has no participant and no row; an empty table gives an empty result; other columns are not read. Control marks inside
 names and texts lose their bar, so a text cannot open or close a turn.
 """
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coursegrid.llm.shared import numbered, settled
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -39,28 +42,30 @@ def rotate(
     """`conv_id, perspective, part, n_turns, n_own_turns, text, mask`, one row per dialogue, participant and part."""
     rows = turns.select(
         F.col(dialogue_col).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn_col) / turns_per_part), F.lit(-1)).cast("long").alias("part"),
-        F.struct(
-            F.col(turn_col).cast("long").alias("turn"),
-            F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        ).alias("said"),
+        F.col(turn_col).cast("long").alias("turn"),
+        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ).withColumn("digest", F.sha2("text", 256))
+    order = ["turn", "speaker", "digest"]
+    # Structs of columns that may be null are no null themselves, so plain equality joins them without a further shuffle.
+    same_turn = F.struct("conv_id", *order).alias("key")
+    at = numbered(rows.select("conv_id", *order).distinct(), ["conv_id"], order, "at")
+    at = settled(at.withColumn("part", F.floor(F.col("at") / turns_per_part).cast("long")))
+    texts = rows.groupBy(same_turn).agg(F.first("text").alias("text"))
+    said = F.struct("at", F.col("key.speaker").alias("speaker"), "text")
+    unit = F.struct("conv_id", "part").alias("unit")
+    parts = (
+        texts.join(at.select(same_turn, "at", unit), "key")
+        .groupBy("unit")
+        .agg(F.array_sort(F.collect_list(said)).alias("said"))
     )
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("said")).alias("said"))
-    present = rows.select("conv_id", "part", F.col("said.speaker").alias("speaker")).distinct()
-    people = present.filter(F.col("speaker") != system).select("conv_id", "speaker").distinct()
+    people = at.filter(F.col("speaker") != system).select("conv_id", "speaker").distinct().alias("q")
     views = (
-        present.select("conv_id", "part").distinct().alias("p")
-        .join(people.alias("q"), F.col("p.conv_id").eqNullSafe(F.col("q.conv_id")))
-        .select("p.conv_id", "part", "speaker")
-        .groupBy("conv_id", "part")
-        .agg(F.collect_set("speaker").alias("people"))
-    )
-    keyed = parts.alias("a").join(
-        views.alias("b"),
-        F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.part") == F.col("b.part")),
+        at.select("conv_id", "part").distinct().alias("p")
+        .join(people, F.col("p.conv_id").eqNullSafe(F.col("q.conv_id")))
+        .select(F.struct("p.conv_id", "part").alias("unit"), F.col("speaker").alias("perspective"))
     )
-    seen = keyed.select("a.conv_id", "a.part", "said", F.explode("people").alias("perspective"))
+    seen = parts.join(views, "unit").select("unit.conv_id", "unit.part", "said", "perspective")
     return seen.select(
         "conv_id",
         "perspective",

@@ -297,15 +297,48 @@ def test_perspectives(spark):
     ]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("said", F.lit(1))
     got = {(r.conv_id, r.perspective, r.part): r for r in perspective.rotate(frame).collect()}
-    assert set(got) == {(1, p, n) for p in ("ann", "bob", "cy\nd") for n in (0, 1)} | {(None, "ann", 0), (3, "unknown", -1)}
+    assert set(got) == {(1, p, 0) for p in ("ann", "bob", "cy\nd")} | {(None, "ann", 0), (3, "unknown", 0)}
     own = got[1, "ann", 0]
     assert own.text == (
         "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n"
         "<|im_start|>assistant\ntie<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
+        "<|im_start|>user name=cy d\nx<im_end><|im_end|>\n"
     )
     assert [own.text[m.start : m.end] for m in own["mask"]] == ["Hi<|im_end|>", "tie<|im_end|>"]
-    assert (own.n_turns, own.n_own_turns) == (4, 2)
-    assert got[1, "bob", 1].text == "<|im_start|>user name=cy d\nx<im_end><|im_end|>\n" and got[1, "bob", 1]["mask"] == []
+    assert (own.n_turns, own.n_own_turns) == (5, 2)
+
+
+def parts_of(frame):
+    """Per dialogue and participant the bodies said, part by part."""
+    got = {}
+    for r in perspective.rotate(frame).collect():
+        bodies = [t.split("\n", 1)[1] for t in r.text.removesuffix("<|im_end|>\n").split("<|im_end|>\n")]
+        assert len(bodies) == r.n_turns <= 256 and all(r.text[m.start : m.end].endswith("<|im_end|>") for m in r["mask"])
+        assert len(r["mask"]) == r.n_own_turns
+        assert got.setdefault((r.conv_id, r.perspective), {}).setdefault(r.part, bodies) is bodies
+    return got
+
+
+def test_perspectives_at_the_border_of_parts(spark):
+    """A dialogue of 256 turns is one part, one turn more makes a second; turn numbers may leave gaps and repeat rows."""
+    turns = [(n, 1000 * k, "ab"[k % 2], str(k)) for n in (255, 256, 257) for k in range(n)]
+    got = parts_of(spark.createDataFrame(turns * 2, "conv_id long, turn long, role string, text string"))
+    for n in (255, 256, 257):
+        for who in "ab":
+            want = [str(k) for k in range(n)]
+            assert got[n, who] == {0: want[:256], **({1: want[256:]} if n > 256 else {})}
+
+
+@pytest.mark.parametrize("conv_id, turn", [(7, 5), (7, None), (None, None)])
+def test_many_rows_at_one_turn(spark, conv_id, turn):
+    """Rows at one turn number, or without a dialogue, are cut by their place like all others, in order of speaker and digest."""
+    said = [("ab"[k % 2], f"text {k}") for k in range(10_000)]
+    frame = spark.createDataFrame([(conv_id, turn, *s) for s in said], "conv_id long, turn long, role string, text string")
+    got = parts_of(frame.repartition(5))
+    want = [t for _, t in sorted(said, key=lambda s: (s[0], brute.digest(s[1])))]
+    assert set(got) == {(conv_id, "a"), (conv_id, "b")}
+    for parts in got.values():
+        assert parts == {p: want[256 * p : 256 * p + 256] for p in range(40)}
 
 
 def test_warc(spark, tmp_path):
