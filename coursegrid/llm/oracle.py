@@ -107,8 +107,12 @@ def warc_sql() -> str:
     text = "html"
     for pattern, value in ((warc.silent(), ""), (warc.FOLDED, " "), (warc.BREAKS, "\n"), (warc.TAGS, "")):
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
-    for entity, value in warc.ENTITIES:
-        text = f"replace({text}, {quoted(entity)}, {quoted(value)})"
+    named = "MAP {" + ", ".join(f"{quoted(n)}: {quoted(v)}" for n, v in warc.NAMED.items()) + "}"
+    code = "(CASE WHEN e[3] IN ('x', 'X') THEN '0x' || e[4:-2] ELSE e[3:-2] END)::INT"
+    resolved = f"""list_transform(regexp_extract_all(raw, '{warc.ENTITY}'), lambda e:
+      CASE WHEN e NOT LIKE '&#%' THEN coalesce(({named})[e], e) WHEN {code} = 160 THEN ' '
+           WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) ELSE chr({code}) END)"""
+    raw, text = text, "array_to_string(list_transform(list_zip(gaps, list_append(hits, '')), lambda z: z[1] || z[2]), '')"
     for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " ")):
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
     text = f"trim({text}, ' ' || chr(10))"
@@ -125,7 +129,7 @@ def warc_sql() -> str:
                     ("payload-bytes", "strlen(html)"), ("text-digest", "'sha256:' || sha256(body)")])
     head = fields([("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"),
                    ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"),
-                   ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"),
+                   ("WARC-Date", "date"), ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"),
                    ("X-Source-Headers", "regexp_replace(source_headers, '[\\r\\n]+', '; ', 'g')"),
                    ("Content-Type", "content_type"), ("Content-Length", "content_length")])
     return f"""
@@ -135,7 +139,8 @@ WITH p AS (
                 || 'sha256:' || sha256(coalesce(html, ''))) AS h
   FROM pages),
 t AS (
-  SELECT source_id, target_uri, {uuid('h')} AS refers_to, html, 'sha256:' || sha256(html) AS payload_digest, {text} AS body,
+  SELECT source_id, target_uri, {uuid('h')} AS refers_to, html, 'sha256:' || sha256(html) AS payload_digest, {raw} AS raw,
+         string_split_regex(raw, '{warc.ENTITY}') AS gaps, {resolved} AS hits, {text} AS body,
          trim(regexp_replace(regexp_extract(html, {quoted(warc.TITLE)}, 1), '\\s+', ' ', 'g')) AS title,
          lower(regexp_extract(html, {quoted(warc.LANGUAGE)}, 1)) AS lang,
          len(regexp_extract_all(html, {quoted(warc.LINK)})) AS n_links
@@ -146,9 +151,9 @@ r AS (
   SELECT source_id, 'metadata' AS warc_type, meta_id AS record_id, refers_to, text_id AS concurrent_to, target_uri,
          'application/warc-fields' AS content_type, payload_digest, {about} AS block FROM k
   UNION ALL
-  SELECT source_id, 'conversion', text_id, refers_to, meta_id, target_uri, 'text/plain; charset=utf-8', payload_digest, body FROM k),
+  SELECT source_id, 'conversion', text_id, refers_to, NULL, target_uri, 'text/plain; charset=utf-8', payload_digest, body FROM k),
 f AS (
-  SELECT source_id, warc_type, record_id, refers_to, concurrent_to, target_uri, NULL::VARCHAR AS date, content_type,
+  SELECT source_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '{warc.UNDATED}' AS date, content_type,
          'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' AS source_headers, payload_digest,
          'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block FROM r)
 SELECT *, sha256('WARC/1.1' || {crlf} || {head} || {crlf} || {crlf} || block || {crlf} || {crlf}) AS record_sha256 FROM f"""

@@ -2,30 +2,37 @@
 
 `responses` shapes crawled pages into response records. `derive` turns response records into the two derived kinds:
 both carry `WARC-Refers-To` with the response's identifier, its target address, date and payload digest and its source
-headers; each has an identifier and digests of its own, and the metadata record names the conversion record and the
-other way round (`WARC-Concurrent-To`). `serialized` gives the bytes of a record as they stand in a WARC file, and
+headers; each has an identifier and digests of its own, and the metadata record names the conversion record
+(`WARC-Concurrent-To`, which the format does not allow on conversions). `serialized` gives the bytes of a record as they stand in a WARC file, and
 `write` writes Parquet of records or, through Spark's text writer, files of records.
 
 One scan and one projection: a response's records come from its own row, so nothing is shuffled.
 
-Defined cases: a null or empty payload gives an empty text with its digest; a null address, date or header block is left out
-of the record; a null response id gets an identifier made from the row's address and payload; repeated rows
+Defined cases: a null or empty payload gives an empty text with its digest; a null address or header block is left out of the
+record; a null date becomes the stated `undated`, as every record needs one; an entity of no known name stays as it is, a number
+that is no character becomes U+FFFD; a null response id gets an identifier made from the row's address and payload; repeated rows
 give repeated, equal records; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-# Elements whose content is no text, elements that end a line, and the entities that are resolved.
+#: The date of records whose capture time is not known.
+UNDATED = "1970-01-01T00:00:00Z"
+# Elements whose content is no text, and elements that end a line.
 SILENT = ("script", "style", "noscript", "template", "head")
 BREAKING = (
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html li main nav ol option p pre section table tbody td tfoot th thead tr ul"
 ).split()
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: The named entities of HTML 4 and `&apos;`; a blank that does not break is a blank here.
+NAMED = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'", "&nbsp;": " "}
 
 TITLE = "(?is)<title[^>]*>(.*?)</title\\s*>"
 LANGUAGE = "(?is)<html[^>]*?\\slang\\s*=\\s*[\"']?([A-Za-z0-9-]+)"
@@ -48,13 +55,29 @@ def cleaned(html: Column) -> Column:
     text = html
     for pattern, value in ((silent(), ""), (FOLDED, " "), (BREAKS, "\n"), (TAGS, "")):
         text = F.regexp_replace(text, pattern, value)
-    for entity, value in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(value))
+    text = F.when(F.contains(text, F.lit("&")), resolved(text)).otherwise(text)
     for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " ")):
         text = F.regexp_replace(text, pattern, value)
     return F.btrim(text, F.lit(" \n"))
 
 
+def resolved(text: Column) -> Column:
+    """The text with its entities resolved once, named and numeric ones."""
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def value(entity: Column) -> Column:
+        hexadecimal = F.lower(F.substring(entity, 3, 1)) == "x"
+        digits = F.regexp_replace(entity, "[&#xX;]", "")
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        code = F.when(bad, 0xFFFD).when(code == 0xA0, 0x20).otherwise(code)
+        numeric = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.startswith(entity, F.lit("&#")), numeric).otherwise(F.coalesce(named[entity], entity))
+
+    gaps, hits = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    return F.array_join(F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(value(hit), F.lit("")))), "")
+
+
 def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
@@ -66,14 +89,20 @@ def identifier(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *pieces), F.lit(">"))
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response records of crawled pages, which come without HTTP headers: a plain status line stands for them."""
+def responses(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None
+) -> DataFrame:
+    """Response records of crawled pages, which come without HTTP headers: a plain status line stands for them.
+
+    `date_col` has the capture time as the format writes it, like `2024-01-31T12:00:00Z`; without one it is not known.
+    """
+    date = F.lit(None) if date_col is None else F.col(date_col)
     html = F.coalesce(F.col(html_col), F.lit(""))
     return pages.select(
         F.col(id_col).alias("source_id"),
         identifier(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit("")), digest(html)).alias("record_id"),
         F.col(url_col).alias("target_uri"),
-        F.lit(None).cast("string").alias("date"),
+        date.cast("string").alias("date"),
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8").alias("http_headers"),
         html.alias("payload"),
         digest(html).alias("payload_digest"),
@@ -85,7 +114,7 @@ def _fields(pairs: list[tuple[str, Column]]) -> Column:
     return F.concat_ws(CRLF, *[F.concat(F.lit(f"{n}: "), F.regexp_replace(v.cast("string"), "[\\r\\n]+", " ")) for n, v in pairs])
 
 
-def derive(records: DataFrame) -> DataFrame:
+def derive(records: DataFrame, undated: str = UNDATED) -> DataFrame:
     """Two rows per response record: `metadata` and `conversion`."""
     payload = F.coalesce(F.col("payload"), F.lit(""))
     base = records.select(
@@ -94,7 +123,7 @@ def derive(records: DataFrame) -> DataFrame:
             F.col("record_id"), identifier(F.lit("response"), F.coalesce("target_uri", F.lit("")), payload)
         ).alias("refers_to"),
         "target_uri",
-        "date",
+        F.coalesce("date", F.lit(undated)).alias("date"),
         "http_headers",
         F.coalesce("payload_digest", digest(payload)).alias("payload_digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
@@ -118,11 +147,11 @@ def derive(records: DataFrame) -> DataFrame:
         ]
     )
 
-    def record(kind: str, own: str, other: str, media: str, block: Column) -> Column:
+    def record(kind: str, own: str, other: Column, media: str, block: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("warc_type"),
             F.col(own).alias("record_id"),
-            F.col(other).alias("concurrent_to"),
+            other.alias("concurrent_to"),
             F.lit(media).alias("content_type"),
             block.alias("block"),
         )
@@ -131,8 +160,8 @@ def derive(records: DataFrame) -> DataFrame:
         "r",
         F.explode(
             F.array(
-                record("metadata", "meta_id", "text_id", "application/warc-fields", about),
-                record("conversion", "text_id", "meta_id", "text/plain; charset=utf-8", F.col("body")),
+                record("metadata", "meta_id", F.col("text_id"), "application/warc-fields", about),
+                record("conversion", "text_id", F.lit(None).cast("string"), "text/plain; charset=utf-8", F.col("body")),
             )
         ),
     )

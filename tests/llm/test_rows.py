@@ -2,6 +2,8 @@
 
 import zlib
 from collections import Counter
+from html import unescape
+from html.parser import HTMLParser
 
 import brute
 import numpy as np
@@ -341,6 +343,53 @@ def test_many_rows_at_one_turn(spark, conv_id, turn):
         assert parts == {p: want[256 * p : 256 * p + 256] for p in range(40)}
 
 
+def test_entities(spark):
+    """Against the standard library's reading; what has no semicolon or no known name stays."""
+    texts = [
+        "caf&eacute; &#8217;&#x2019;&#X1f600; &amp;lt; &lt;b&gt; &Omega;&hearts;", "&nbsp;a&#160;b&#xA0;c", "& &; &# &#; &#x; AT&T &copy 1",
+        "&apos;&#39;&quot;", "&amp;&amp;", "x &unknownname; y", "&#0;&#xD800;&#x110000;",
+    ]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.v for r in frame.select("k", warc.resolved(F.col("t")).alias("v")).orderBy("k").collect()]
+    for text, value in zip(texts, got):
+        assert value == (text if text.startswith("& ") else unescape(text).replace("\xa0", " "))
+
+
+class PageText(HTMLParser):
+    """The text of a page by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.out, self.depth = [], 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in warc.SILENT
+        if tag in warc.BREAKING:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in warc.SILENT and self.depth > 0
+        if tag in warc.BREAKING:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(" ".join(f".{data}.".split())[1:-1].replace("\xa0", " "))
+
+    def lines(self):
+        lines = (" ".join(line.split(" ")).strip(" ") for line in "".join(self.out).split("\n"))
+        return "\n".join(" ".join(line.split()) for line in lines if line)
+
+
+def test_page_text_by_a_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {r.source_id: r.block for r in warc.derive(warc.responses(pages)).filter("warc_type = 'conversion'").collect()}
+    other = [r.page_id for r in pages.collect() if texts[r.page_id] != PageText(r.html or "").lines()]
+    assert len(texts) > 100 and not other
+
+
 def test_warc(spark, tmp_path):
     html = (
         "<!DOCTYPE html><html lang=\"DE\"><head><title> A &amp; B\n</title></head><body><!-- <p>no</p> --><script>var t='</p>';</script>"
@@ -355,7 +404,8 @@ def test_warc(spark, tmp_path):
     assert "title: A &amp; B" in meta.block and "languages: de" in meta.block and "outlinks: 1" in meta.block
     source = records.filter("source_id = 1").first()
     for r, other in ((meta, text), (text, meta)):
-        assert r.refers_to == source.record_id and r.concurrent_to == other.record_id and r.payload_digest == source.payload_digest
+        assert r.refers_to == source.record_id and r.payload_digest == source.payload_digest and r.date == warc.UNDATED
+        assert r.concurrent_to == (other.record_id if r is meta else None)
         assert r.block_digest == "sha256:" + brute.digest(r.block) and r.content_length == len(r.block.encode())
     assert {r.block for r in got if r.source_id == 2 and r.warc_type == "conversion"} == {""}
     kept = records.withColumns({"payload_digest": F.lit("sha1:ABC"), "date": F.lit("2024-01-01T00:00:00Z")})
