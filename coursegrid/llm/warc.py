@@ -50,11 +50,19 @@ BREAKS = f"(?i)</?(?:{'|'.join(BREAKING)})(?:[\\s/][^>]*)?>"
 TAGS = "</?[A-Za-z!][^>]*>"
 
 
-def cleaned(html: Column) -> Column:
-    """Text lines of a page: no markup, entities resolved once, blanks folded, empty lines left out."""
+def stripped(html: Column) -> Column:
+    """A page without markup, its entities as they were."""
     text = html
     for pattern, value in ((silent(), ""), (FOLDED, " "), (BREAKS, "\n"), (TAGS, "")):
         text = F.regexp_replace(text, pattern, value)
+    return text
+
+
+def lines(text: Column) -> Column:
+    """Text lines of a stripped page: entities resolved once, blanks folded, empty lines left out.
+
+    The text is looked at several times, so it is to be a column of its own and not a longer expression.
+    """
     text = F.when(F.contains(text, F.lit("&")), resolved(text)).otherwise(text)
     for pattern, value in ((" *\\n[ \\n]*", "\n"), (" {2,}", " ")):
         text = F.regexp_replace(text, pattern, value)
@@ -127,12 +135,13 @@ def derive(records: DataFrame, undated: str = UNDATED) -> DataFrame:
         "http_headers",
         F.coalesce("payload_digest", digest(payload)).alias("payload_digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
-        cleaned(payload).alias("body"),
+        stripped(payload).alias("stripped"),
         F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), "\\s+", " ")).alias("title"),
         F.lower(F.regexp_extract(payload, LANGUAGE, 1)).alias("lang"),
         F.regexp_count(payload, F.lit(LINK)).cast("long").alias("n_links"),
     ).withColumns(
         {
+            "body": lines(F.col("stripped")),
             "meta_id": identifier(F.lit("metadata"), F.col("refers_to")),
             "text_id": identifier(F.lit("conversion"), F.col("refers_to")),
         }
