@@ -21,6 +21,7 @@ HEADLINE = [
     "open_seats_yearly", "open_seats_semester", "course_yearly", "course_semester",
     "section_marks", "discipline_by_level", "course_picker", "complete_terms", "wide_facts",
     "clean_registrations", "xlist_combined", "yearly_capacity", "title_year",
+    "course_semester_joined",
 ]
 
 
