@@ -2,14 +2,17 @@
 
 Both are bigram models of one form and one vocabulary, all word types of the corpus and an end mark: a word's probability
 is (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR) after v, with p(w) = (c(w) + 1) / (tokens + types). The target counts come from the
-chosen documents, the background counts from all. A low difference marks a text that is like the target.
+chosen documents, the background counts from all; of either a document's own counts are taken off before it is scored, so that no
+text is judged by a model that has seen it. A low difference marks a text that is like the target, a low background loss
+one that other documents repeat.
 
 All words and word pairs of the whole corpus are counted (see `cells`): a chunk sends each of its different keys once, with its
 counts; a bucket adds them up over the chunks and answers the totals in the order of the cell; the chunk then scores its
 documents. Every bucket also tells every chunk its sums (types, tokens, target tokens), which add up to those of the corpus,
-so all is one query without a stop: the texts are shuffled once, and nothing comes to the driver.
+so all is one query without a stop: the texts are shuffled once, and nothing comes to the driver. Documents are scored in
+slices of about `SLICE` tokens.
 
-Defined cases: every input row gives one result row and counts as a document, repeated rows too; null and empty texts have no
+Defined cases: every input row gives one result row and counts as a document, repeated rows too, which see each other; null and empty texts have no
 tokens and null losses; without target documents the target model is uniform; a null id is never in the target; an
 empty table gives an empty result; other columns are not read. Words and pairs are compared by 63-bit hashes.
 """
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from coursegrid.llm import cells, words
 
 PRIOR = 10.0
+#: Tokens scored at once; the documents in which they lie are not cut.
+SLICE = 1 << 19
 U64 = np.uint64
 END_WORD = U64(0x243F6A8885A308D3)
 _ONE = U64(1)
@@ -61,12 +66,16 @@ def _keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nda
     return keys, word, before, both, rows
 
 
+def _chosen(table: pa.Table, chosen: pa.Table) -> np.ndarray:
+    """Which rows are target documents."""
+    target = pc.is_in(table.column("id"), value_set=chosen.column("id").combine_chunks())
+    return np.asarray(target.to_numpy(zero_copy_only=False), bool) & np.asarray(table.column("id").is_valid())
+
+
 def _send(buckets: int):
     def send(table: pa.Table, chosen: pa.Table) -> pa.Table:
         keys, word, _, both, rows = _keys(table.column("text"))
-        target = pc.is_in(table.column("id"), value_set=chosen.column("id").combine_chunks())
-        inside = np.asarray(target.to_numpy(zero_copy_only=False), bool) & np.asarray(table.column("id").is_valid())
-        of_target = inside[rows]
+        of_target = _chosen(table, chosen)[rows]
         all_ = np.bincount(word, minlength=len(keys)) + np.bincount(both, minlength=len(keys))
         own = np.bincount(word[of_target], minlength=len(keys)) + np.bincount(both[of_target], minlength=len(keys))
         at = cells.cuts(keys, buckets)
@@ -111,24 +120,47 @@ def _answer(chunks: int):
     return answer
 
 
-def _losses(buckets: int):
-    def model(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, types: int) -> np.ndarray:
-        return -np.log((pair + PRIOR * (word + 1) / (total + types)) / (context + PRIOR))
+def _slices(rows: np.ndarray):
+    """Tokens in runs of whole documents, of about SLICE tokens each."""
+    low = 0
+    while low < len(rows):
+        last = rows[min(low + SLICE, len(rows)) - 1]
+        high = int(np.searchsorted(rows, last, "right"))
+        yield slice(low, high)
+        low = high
+
 
+def _own(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often a token's document has its key."""
+    _, place, count = np.unique((rows - rows[0]) * (keys.max() + 1) + keys, return_inverse=True, return_counts=True)
+    return count[place]
+
+
+def _losses(buckets: int):
     def losses(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys, word, before, both, rows = _keys(table.column("text"))
         at = cells.cuts(keys, buckets)
-        totals = np.zeros((2, len(keys)))
-        for b, t in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()):
+        total = np.zeros((2, len(keys)))
+        answered = answers.filter(pc.is_valid(answers.column("bucket")))
+        for b, t in zip(answered.column("bucket").to_pylist(), answered.column("totals").to_pylist()):
             if t is not None:
-                totals[:, at[b] : at[b + 1]] = cells.unsqueezed(t).reshape(2, -1)
-        types, all_, own = (sum(x) for x in zip([0, 0, 0], *answers.column("sums").to_pylist()))
+                total[:, at[b] : at[b + 1]] = cells.unsqueezed(t).reshape(2, -1)
+        types, *tokens = (sum(x) for x in zip([0, 0, 0], *answered.column("sums").to_pylist()))
         n = np.bincount(rows, minlength=len(table))
-        none = n == 0
+        inside = _chosen(table, answers.filter(pc.is_valid(answers.column("id"))))
+        loss = np.zeros((2, len(table)))
+        for s in _slices(rows):
+            r, v, w, vw = rows[s], before[s], word[s], both[s]
+            own_w, own_vw = _own(r, w), _own(r, vw)
+            own_v = np.roll(own_w, 1)
+            own_v[np.flatnonzero(np.diff(r, prepend=-1))] = 1  # the end mark, once in each text
+            for k, off in enumerate((1, inside[r])):
+                p = (total[k, w] - off * own_w + 1) / (tokens[k] - off * n[r] + types)
+                each = -np.log((total[k, vw] - off * own_vw + PRIOR * p) / (total[k, v] - off * own_v + PRIOR))
+                loss[k, r[0] : r[-1] + 1] += np.bincount(r - r[0], each)
         out = {"doc_id": table.column("id"), "n_tokens": pa.array(n, pa.int64())}
-        for name, c, total in (("background_loss", totals[0], all_), ("target_loss", totals[1], own)):
-            each = np.bincount(rows, model(c[both], c[before], c[word], total, types), len(table))
-            out[name] = pa.array(each / np.maximum(n, 1), pa.float64(), mask=none)
+        for name, each in zip(("background_loss", "target_loss"), loss):
+            out[name] = pa.array(each / np.maximum(n, 1), pa.float64(), mask=n == 0)
         return pa.table(out)
 
     return losses
@@ -147,9 +179,10 @@ def score(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
     )
     layout = "chunk int, bucket int, totals binary, sums array<long>"
     answers = sent.groupBy("bucket").applyInArrow(_answer(count), layout)
+    told = answers.unionByName(chosen, allowMissingColumns=True)  # a row has a bucket or an id
     scored = (
         chunks.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
+        .cogroup(told.groupBy("chunk"))
         .applyInArrow(
             _losses(count), f"doc_id {kind.simpleString()}, n_tokens long, background_loss double, target_loss double"
         )

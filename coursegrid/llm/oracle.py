@@ -199,9 +199,9 @@ FROM d LEFT JOIN k USING (r)"""
 def cross_entropy_sql() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-    def loss(which: str) -> str:
-        p = f"({which}.w + 1.0) / ({which}.n + types)"
-        return f"avg(-ln(({which}.vw + {PRIOR} * {p}) / ({which}.v + {PRIOR})))"
+    def loss(which: str, off: str) -> str:
+        p = f"({which}.w - {off} * own_w + 1.0) / ({which}.n - {off} * own_n + types)"
+        return f"avg(-ln(({which}.vw - {off} * own_vw + {PRIOR} * {p}) / ({which}.v - {off} * own_v + {PRIOR})))"
 
     def counts(which: str, of: str) -> str:
         return f"""
@@ -213,14 +213,20 @@ def cross_entropy_sql() -> str:
 
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{WORD}') AS ws FROM documents),
+good AS (SELECT doc_id FROM labels WHERE quality = 1),
 k AS (
   SELECT r, doc_id, i, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '') AS v
   FROM (SELECT r, doc_id, unnest(list_append(ws, '')) AS w, unnest(range(len(ws) + 1)) AS i FROM d WHERE len(ws) > 0)),
-kt AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+kt AS (SELECT * FROM k WHERE doc_id IN (FROM good)),
+own AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, v, w) AS own_vw, count(*) OVER (PARTITION BY r, v) AS own_v,
+         count(*) OVER (PARTITION BY r, w) AS own_w, count(*) OVER (PARTITION BY r) AS own_n,
+         CASE WHEN doc_id IN (FROM good) THEN 1 ELSE 0 END AS good
+  FROM k),
 {counts("b", "k")}{counts("t", "kt")}
 s AS (
-  SELECT r, count(*) AS n_tokens, {loss("t")} AS target_loss, {loss("b")} AS background_loss
-  FROM b JOIN t USING (r, i), (SELECT count(DISTINCT w) AS types FROM k) GROUP BY r)
+  SELECT r, count(*) AS n_tokens, {loss("t", "good")} AS target_loss, {loss("b", "1")} AS background_loss
+  FROM b JOIN t USING (r, i) JOIN own USING (r, i), (SELECT count(DISTINCT w) AS types FROM k) GROUP BY r)
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, 6) AS target_loss,
        round(background_loss, 6) AS background_loss, round(target_loss - background_loss, 6) AS difference
 FROM d LEFT JOIN s USING (r)"""

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -270,17 +271,26 @@ def test_cross_entropy(documents, rows):
     types = len({w for _, ws in texts for w in ws}) + 1
 
     def losses(chosen):
-        words, pairs = Counter(), Counter()
-        for _, ws in chosen:
-            if ws:
-                words.update([*ws, None])
-                pairs.update(zip([None, *ws], [*ws, None]))
-        n = sum(words.values())
-        return [
-            -np.mean([np.log((pairs[v, w] + 10 * (words[w] + 1) / (n + types)) / (words[v] + 10)) for v, w in zip([None, *ws], [*ws, None])])
-            if ws else None
-            for _, ws in texts
-        ]
+        def counted(several):
+            words, pairs = Counter(), Counter()
+            for ws in several:
+                if ws:
+                    words.update([*ws, None])
+                    pairs.update(zip([None, *ws], [*ws, None]))
+            return words, pairs
+
+        words, pairs = counted(ws for _, ws in chosen)
+        n, out = sum(words.values()), []
+        for i, ws in texts:
+            own, both = counted([ws] if (i, ws) in chosen else [])
+            m = n - sum(own.values())
+
+            def p(v, w):
+                single = (words[w] - own[w] + 1) / (m + types)
+                return (pairs[v, w] - both[v, w] + 10 * single) / (words[v] - own[v] + 10)
+
+            out.append(-np.mean([np.log(p(v, w)) for v, w in zip([None, *ws], [*ws, None])]) if ws else None)
+        return out
 
     def tidy(x):
         return None if x is None else round(float(x), 6)
@@ -292,6 +302,30 @@ def test_cross_entropy(documents, rows):
     )
 
 
+def test_documents_in_slices_lose_the_same(rows, monkeypatch):
+    table = pa.table({"chunk": pa.array([0] * len(rows), pa.int32()), "id": [i for i, _ in rows], "text": [t or "" for _, t in rows]})
+    chosen = pa.table({"chunk": pa.array([0, 0, 0], pa.int32()), "id": [1, 11, 14]})
+    answers = cross_entropy._answer(1)(cross_entropy._send(1)(table, chosen))
+    told = pa.concat_tables([answers, chosen], promote_options="default")
+    whole = cross_entropy._losses(1)(table, told)
+    tokens = cross_entropy._keys(table.column("text"))[-1]
+    assert len(list(cross_entropy._slices(tokens))) == 1
+    monkeypatch.setattr(cross_entropy, "SLICE", 7)
+    assert len(list(cross_entropy._slices(tokens))) > 10
+    cut = cross_entropy._losses(1)(table, told)
+    for name in ("target_loss", "background_loss"):
+        a, b = (t.column(name).to_numpy(zero_copy_only=False) for t in (whole, cut))
+        assert np.allclose(a, b, rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_only_the_copy_of_a_text_lowers_its_loss(spark):
+    said = [" ".join(f"w{(k * 37 + j * j) % 997}" for j in range(80)) for k in range(40)]
+    once = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    twice = once.unionByName(once.filter("doc_id = 7").selectExpr("doc_id + 100 AS doc_id", "text"))
+    loss = {r.doc_id: r.background_loss for r in cross_entropy.score(twice, once.filter("doc_id < 3")).collect()}
+    assert loss[7] == loss[107] < min(v for k, v in loss.items() if k not in (7, 107)) - 1
+
+
 def test_perspectives(spark):
     turns = [
         (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 2, "ann", "tie"),
