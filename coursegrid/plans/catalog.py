@@ -43,12 +43,23 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.registrations = demo.registrations(spark, folder)
+        self.sections = demo.sections(spark, folder)
         self.raw_capacity = demo.capacity(spark, folder)
 
     @property
     def capacity(self) -> DataFrame:
         return clean.normalize_capacity(self.raw_capacity)
 
+    def complete(self, rows: DataFrame) -> DataFrame:
+        """Section rows as registrations."""
+        return demo.with_courses(rows, demo.courses(self.spark, self.folder))
+
+    @property
+    def with_capacity(self) -> DataFrame:
+        """The registrations with their capacity records; the join deals out narrow section rows."""
+        rows = self.complete(clean.join_capacity(self.sections, self.capacity))
+        return rows.select("course_section_id", *[c for c in rows.columns if c != "course_section_id"])
+
     @property
     def in_scope(self) -> DataFrame:
         """Registrations in scope without capacity: enough for the time axis."""
@@ -157,7 +168,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         clean.unite_section(clean.split_input_term(t.registrations))
     ),
     "extract_course_code": lambda t: courses.extract_code(facts.course_years(t.facts), CODE),
-    "join_capacity": lambda t: clean.join_capacity(t.registrations, t.capacity),
+    "join_capacity": lambda t: t.with_capacity,
     "clean_registrations": lambda t: t.rows(),
     "xlist_pooled": lambda t: pool.pooled_members(t.rows()),
     "xlist_combined": lambda t: pool.pool_crosslisted(t.rows()),

@@ -34,39 +34,57 @@ def courses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def registrations(spark: SparkSession, folder: str, *, own_levels: bool = False) -> DataFrame:
-    """With `own_levels` each section row states a level of its own, some none, and has its place in
-    the source in a column `source_order`, so that the rows of a course-year differ."""
+def sections(spark: SparkSession, folder: str, *, own_levels: bool = False) -> DataFrame:
+    """Lines as section rows without the attributes of their courses and without texts made from other columns.
+
+    They are narrow and of fixed width, since they are dealt out by section id and by course;
+    `with_courses` makes registrations of them, before or after the capacity join. With `own_levels`
+    each row states a level of its own, some none, and has its place in the source.
+    """
     lines = spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet")
-    year, month = F.year("l_shipdate"), F.month("l_shipdate")
+    columns = {
+        "course_section_id": F.col("l_orderkey"),
+        "course_id": F.col("l_partkey"),
+        "enrolled": F.col("l_quantity"),
+        "_number": (F.col("l_suppkey") % 24).cast("int"),
+        "_month": F.trunc("l_shipdate", "month"),
+        "_crosslisted": F.col("l_returnflag") == "R",
+        "_lab": (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"),
+    }
+    if own_levels:
+        columns["_own_level"] = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linestatus"))
+        columns["source_order"] = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return lines.select(*[column.alias(name) for name, column in columns.items()])
+
+
+def with_courses(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Section rows and `courses` -> registrations; columns that the rows have besides are kept behind them."""
+    year, month = F.year("_month"), F.month("_month")
     semester = F.when(month <= 5, "SP").when(month <= 7, "SU").otherwise("FA")
-    crosslisted = F.col("l_returnflag") == "R"
+    section = F.concat(F.lit("X"), F.col("course_section_id").cast("string"))
     no_text = F.lit(None).cast("string")
     columns = {
         "acad_year_term": F.concat(year.cast("string"), semester),
         "reporting_year": F.when(semester == "FA", year).otherwise(year - 1),
-        "course_section_id": F.col("l_orderkey"),
-        "section_number": F.lpad((F.col("l_suppkey") % 24).cast("string"), 2, "0"),
-        "enrolled": F.col("l_quantity"),
-        "xlist_primary_course": F.when(crosslisted, F.col("course_name")),
-        "xlist_section1": F.when(
-            crosslisted, F.concat(F.lit("X"), F.col("l_orderkey").cast("string"))
-        ),
+        "section_number": F.lpad(F.col("_number").cast("string"), 2, "0"),
+        "xlist_primary_course": F.when(F.col("_crosslisted"), F.col("course_name")),
+        "xlist_section1": F.when(F.col("_crosslisted"), section),
         "xlist_section2": no_text,
         "xlist_section3": no_text,
         "xlist_section4": no_text,
-        "schedule_type": F.when(
-            (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "LAB"
-        ),
+        "schedule_type": F.when(F.col("_lab"), "LAB"),
     }
-    joined = lines.join(courses(spark, folder), F.col("l_partkey") == F.col("course_id"))
+    if "_own_level" in rows.columns:
+        columns["course_level"] = F.concat("course_level", "_own_level")
     fields = REGISTRATIONS.fieldNames()
-    if own_levels:
-        stated = F.concat("course_level", "l_linestatus")
-        columns["course_level"] = F.when(F.col("l_linenumber") % 3 != 0, stated)
-        columns["source_order"] = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-        fields = [*fields, "source_order"]
-    return joined.select(*[columns.get(f, F.col(f)).alias(f) for f in fields])
+    fields += [c for c in rows.columns if c not in fields and not c.startswith("_")]
+    return rows.join(known, "course_id").select(*[columns.get(f, F.col(f)).alias(f) for f in fields])
+
+
+def registrations(spark: SparkSession, folder: str, *, own_levels: bool = False) -> DataFrame:
+    """With `own_levels` each section row states a level of its own, some none, and has its place in
+    the source in a column `source_order`, so that the rows of a course-year differ."""
+    return with_courses(sections(spark, folder, own_levels=own_levels), courses(spark, folder))
 
 
 def capacity(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from coursegrid.functions.nulls import sum_all
 from coursegrid.operators import clean, facts, pool
 from coursegrid.operators.totals import with_group_totals
-from coursegrid.plans.catalog import queries
+from coursegrid.plans.catalog import Tables, queries
 from coursegrid.schemas import REGISTRATIONS
 
 
@@ -227,3 +227,66 @@ def test_choices_and_axes_scan_once(spark, folder, no_broadcast, name):
             text = node.toString()
             scans[node.id()] = next(t for t in ("lineitem", "orders", "part") if f"/{t}.parquet" in text)
     assert sorted(scans.values()).count("lineitem") == sorted(scans.values()).count("orders") == 1
+
+
+def odd_tables(spark, path, n=240):
+    """Lines, parts and orders with null and unknown keys, null columns, and keys that come twice."""
+    def unless(every, value):
+        return F.when(F.col("id") % every != 0, value)
+
+    i = F.col("id")
+    day = F.timestamp_add("DAY", (i * 13).cast("int"), F.lit("1997-01-31 23:59:59").cast("timestamp_ntz"))
+    tables = {
+        "lineitem": spark.range(n).select(
+            unless(13, i % 60).alias("l_orderkey"),
+            unless(11, i % 40).alias("l_partkey"),
+            unless(17, i * 7).alias("l_suppkey"),
+            (i % 7 + 1).cast("int").alias("l_linenumber"),
+            unless(19, (i % 50).cast("double")).alias("l_quantity"),
+            unless(7, F.when(i % 3 == 0, "R").when(i % 3 == 1, "A").otherwise("N")).alias("l_returnflag"),
+            unless(5, F.when(i % 2 == 0, "O").otherwise("F")).alias("l_linestatus"),
+            unless(23, day).alias("l_shipdate"),
+        ),
+        "part": spark.range(36).select(
+            unless(12, i % 30).alias("p_partkey"),
+            unless(9, F.concat(F.lit("title "), i % 4)).alias("p_name"),
+            unless(8, F.when(i % 2 == 0, "STANDARD").otherwise("PROMO")).alias("p_type"),
+            unless(7, (i % 50).cast("int")).alias("p_size"),
+        ),
+        "orders": spark.range(70).select(
+            unless(10, i % 50).alias("o_orderkey"),
+            i.alias("o_custkey"),
+            unless(6, F.when(i % 4 == 0, "P").otherwise("F")).alias("o_orderstatus"),
+            unless(9, F.when(i % 5 == 0, "5-LOW").otherwise("1-URGENT")).alias("o_orderpriority"),
+        ),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{path}/{name}.parquet")
+
+
+NARROW_JOINS = ("join_capacity",)
+
+
+@pytest.mark.parametrize("name", NARROW_JOINS)
+def test_the_capacity_join_deals_out_no_texts(name, spark, no_broadcast, tmp_path):
+    odd_tables(spark, tmp_path)
+    df = queries()[name](spark, str(tmp_path))
+    df.collect()
+    dealt = [
+        node.output().mkString(",")
+        for node in nodes(df._jdf.queryExecution().executedPlan())
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec"
+        and node.outputPartitioning().toString().startswith("hashpartitioning(course_section_id")
+    ]
+    registrations = [columns for columns in dealt if "enrolled" in columns]
+    assert registrations
+    for text in ("course_name", "course_title", "subject", "section_number", "term", "xlist_section1"):
+        assert not any(text in columns for columns in registrations)
+
+
+def test_rows_completed_after_the_join_are_the_same(spark, tmp_path):
+    odd_tables(spark, tmp_path)
+    t = Tables(spark, str(tmp_path))
+    joined = clean.join_capacity(t.registrations, t.capacity)
+    assert t.with_capacity.schema == joined.schema
+    same(t.with_capacity, joined)
