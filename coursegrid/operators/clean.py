@@ -1,5 +1,7 @@
 """Section rows: scope, capacity, keys."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +149,7 @@ def clean_registrations(
     excluded_years=(),
     collapse: bool = False,
     source_order: str | None = None,
+    complete: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Section rows in scope, with capacity and with the section key.
 
@@ -158,12 +161,23 @@ def clean_registrations(
     many capacity records gives one row with their number and sum instead of many rows; the
     facts come out the same and no id can multiply rows. `source_order` names a column with the
     place of a row in its source; it is kept under that name and lets the facts carry first values.
+
+    Where much of a row follows from narrow columns or is looked up, `registrations` may hold the
+    narrow columns alone: `complete` makes whole registrations of such rows, keeps what else they
+    have and runs after the capacity join, so that the join deals out narrow rows. Filters on the narrow
+    columns still reach the scan.
     """
-    rows = exclude_input_terms(registrations, excluded_terms)
+    if collapse:
+        capacity = collapse_capacity(capacity)
+    rows = registrations
+    if complete is not None:
+        rows = complete(join_capacity(registrations, capacity))
+    rows = exclude_input_terms(rows, excluded_terms)
     if courses is not None:
         rows = filter_titles(rows, courses)
     if about is not None:
-        known = registrations if catalogue is None else catalogue
+        whole = registrations if complete is None else complete(registrations)
+        known = whole if catalogue is None else catalogue
         rows = filter_courses_and_pools(rows, courses_of_subjects(known, about))
     known_year = excluding(F.col("reporting_year"), excluded_years)
     if known_year is not None:
@@ -172,9 +186,7 @@ def clean_registrations(
         rows = filter_regular(rows)
     if subjects is not None:
         rows = filter_subjects(rows, subjects)
-    if collapse:
-        rows = join_capacity(rows, collapse_capacity(capacity))
-    else:
+    if complete is None:
         rows = join_capacity(rows, capacity)
     columns = [c for c in USED_COLUMNS if c != "acad_year_term"]
     extra = ["capacity_records"] if collapse else []

@@ -68,10 +68,11 @@ class Tables:
 
     def rows(self, *, collapse: bool = False) -> DataFrame:
         return clean.clean_registrations(
-            self.registrations,
+            self.sections,
             self.capacity,
             excluded_terms=EXCLUDED_INPUT_TERMS,
             collapse=collapse,
+            complete=self.complete,
         )
 
     @property
@@ -82,11 +83,12 @@ class Tables:
     def first_value_facts(self) -> DataFrame:
         """Facts that carry the attributes of the first row, from rows that differ in them."""
         rows = clean.clean_registrations(
-            demo.registrations(self.spark, self.folder, own_levels=True),
+            demo.sections(self.spark, self.folder, own_levels=True),
             self.capacity,
             excluded_terms=EXCLUDED_INPUT_TERMS,
             collapse=True,
             source_order="source_order",
+            complete=self.complete,
         )
         return facts.course_year_facts(rows)
 

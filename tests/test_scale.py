@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from coursegrid.functions.nulls import sum_all
 from coursegrid.operators import clean, facts, pool
 from coursegrid.operators.totals import with_group_totals
-from coursegrid.plans.catalog import Tables, queries
+from coursegrid.plans.catalog import EXCLUDED_INPUT_TERMS, Tables, queries
 from coursegrid.schemas import REGISTRATIONS
 
 
@@ -264,7 +264,7 @@ def odd_tables(spark, path, n=240):
         rows.write.parquet(f"{path}/{name}.parquet")
 
 
-NARROW_JOINS = ("join_capacity",)
+NARROW_JOINS = ("join_capacity", "clean_registrations", "xlist_combined", "wide_facts", "wide_facts_first_values")
 
 
 @pytest.mark.parametrize("name", NARROW_JOINS)
@@ -284,9 +284,17 @@ def test_the_capacity_join_deals_out_no_texts(name, spark, no_broadcast, tmp_pat
         assert not any(text in columns for columns in registrations)
 
 
-def test_rows_completed_after_the_join_are_the_same(spark, tmp_path):
+@pytest.mark.parametrize("collapse", [False, True])
+def test_rows_completed_after_the_join_are_the_same(spark, tmp_path, collapse):
     odd_tables(spark, tmp_path)
     t = Tables(spark, str(tmp_path))
+    scope = {"excluded_terms": EXCLUDED_INPUT_TERMS, "excluded_years": (1999,), "subjects": ["PROMO", "SMALL"]}
+    scope |= {"courses": ["PROMO-210: title 3", "PROMO-150: title 1"], "about": ["PROMO"], "collapse": collapse}
+    for some in ({}, scope):
+        late = clean.clean_registrations(t.sections, t.capacity, complete=t.complete, **some)
+        early = clean.clean_registrations(t.registrations, t.capacity, **some)
+        assert late.columns == early.columns and not late.isEmpty()
+        same(late, early)
     joined = clean.join_capacity(t.registrations, t.capacity)
     assert t.with_capacity.schema == joined.schema
     same(t.with_capacity, joined)
