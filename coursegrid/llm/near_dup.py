@@ -8,14 +8,16 @@
    the most keys with others, which in a family of copies is close to the original. A similarity is estimated from
    equal low bits, corrected for equality by chance; pairs more than `MARGIN` below the threshold (over six standard
    deviations) are dropped inside the join, the rest is confirmed on the full sets.
-4. Two classes that are already in one component need no comparison. For keys whose classes are still in several
-   components, the pairs of different components that could reach the threshold are found without listing pairs: a pair at
-   the threshold must share a shingle among the rarest few of either set, at places that leave room for enough common ones
-   (prefix and position filter). Shingles are counted over all these classes, and pairs confirmed on the full sets. Nothing
-   is capped; in a family of copies few pairs are left here.
+4. Two classes that are already in one component need no comparison, nor do two of which one is the key's central class. For keys
+   whose other classes are still in several components, the pairs of different components that could reach the threshold are
+   found without listing pairs: a pair at the threshold must share a shingle among the rarest few of either set, at places that
+   leave room for enough common ones (prefix and position filter). Shingles are counted over all these classes, and pairs
+   confirmed on the full sets. Nothing is capped; in a family of copies few pairs are left here.
 5. Components come from the confirmed links (`components`).
 
-Sketches are read once from the texts. Texts travel again only for classes that share a key.
+Sketches are read once from the texts. Classes have numbers of their own; band keys travel in packed blocks, one per task and
+range of keys. Of the texts only those of classes that may be compared travel again, one per class: a bitmap of fixed size
+(`FILTER_BITS`) drops the others before the shuffle. Their shingles are kept as sorted hashes for all comparisons.
 
 Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing; texts with fewer
 words than a shingle are one shingle; rows with one id are one document, linked through any of its texts, and each row has its result row; a
@@ -35,14 +37,19 @@ from pyspark.sql import functions as F
 
 from coursegrid.llm import cells, words
 from coursegrid.llm.components import components
-from coursegrid.llm.shared import settled
+from coursegrid.llm.shared import partitions, settled
 
 LANES, BITS, MISS, MARGIN = 128, 2, 1e-6, 0.25
 #: Rows of either side of a shared shingle that one task compares.
 TILE = 512
+#: Band keys that a task gathers before it sends them on, and shingles in a chunk of the rarest-shingle search.
+BLOCK, CHUNK = 1 << 21, 1 << 16
+#: Bits of the filter that texts pass before they are dealt out, and in one row of Spark's bitmap functions.
+FILTER_BITS, BUCKET = 1 << 25, 32_768
 U64 = np.uint64
-_FACTORS = np.random.default_rng(77).integers(1, 1 << 63, LANES, dtype=U64) * U64(2) + U64(1)
-_SHIFTS = np.random.default_rng(78).integers(0, 1 << 63, LANES, dtype=U64)
+U32 = np.uint32
+_FACTORS = np.random.default_rng(77).integers(0, 1 << 31, LANES, dtype=U32) * U32(2) + U32(1)
+_SHIFTS = np.random.default_rng(78).integers(0, 1 << 32, LANES, dtype=U32)
 SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 
@@ -51,13 +58,21 @@ def rows_per_band(threshold: float) -> int:
     return max(fits, default=1)
 
 
+def _different(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    out = np.sort(hashes)
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
 def shingle_sets(block: words.Block, size: int) -> list[np.ndarray]:
     """Sorted different shingle hashes of each row; below `size` words, one hash of them all."""
     rolled, out, shorter = block.rolled(size), [], {}
     for i in range(len(block.rows)):
         low, n = int(block.first[i]), int(block.first[i + 1] - block.first[i])
         if n >= size:
-            out.append(np.unique(rolled[low : low + n - size + 1]))
+            out.append(_different(rolled[low : low + n - size + 1]))
         elif n:
             if n not in shorter:
                 shorter[n] = words.mixed(block.rolled(n) ^ U64(n))
@@ -72,8 +87,8 @@ def _blocks(column) -> Iterator[words.Block]:
 
 
 def _minima(sets: list[np.ndarray]) -> np.ndarray:
-    """LANES minima of each non-empty set."""
-    flat = np.concatenate(sets)
+    """LANES minima of each non-empty set, of the upper halves of its hashes."""
+    flat = (np.concatenate(sets) >> U64(32)).astype(U32)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
     out, held = np.empty((len(sets), LANES), U64), np.empty_like(flat)
     for lane in range(LANES):
@@ -118,51 +133,104 @@ def _sketches(size: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
+                        batch.column("print").slice(block.rows.start, len(block.rows)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(halves[:, 0]),
                         pa.array(halves[:, 1]),
                         pa.array(keys, pa.list_(pa.int64())),
                         *[pa.array(np.ascontiguousarray(sign[:, i])) for i in range(len(SIGNATURE))],
                     ],
-                    names=["id", "n", "d0", "d1", "keys", *SIGNATURE],
+                    names=["id", "print", "n", "d0", "d1", "keys", *SIGNATURE],
                 )
 
     return run
 
 
-def _confirmed(size: int, threshold: int):
-    """Pairs whose full sets reach the threshold, in hundredths. Pairs of one `text_a` come together."""
+def _stored(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([s.tobytes() for s in sets], pa.binary())
+
+
+def _loaded(column) -> list[np.ndarray]:
+    return [np.frombuffer(c.as_buffer(), U64) for c in column]
+
+
+def _shingled(size: int):
+    """Texts as their sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _blocks(batch.column("text")):
+                nodes = batch.column("node").slice(block.rows.start, len(block.rows))
+                yield pa.RecordBatch.from_arrays([nodes, _stored(shingle_sets(block, size))], names=["node", "shingles"])
+
+    return run
+
+
+def _confirmed(threshold: int):
+    """Pairs whose full sets reach the threshold, in hundredths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
         for batch in batches:
-            links, first = [], batch.column("text_a")
-            for block in _blocks(batch.column("text_b")):
-                for i, other in zip(block.rows, shingle_sets(block, size)):
-                    if held is None or not first[i].equals(held):
-                        held = first[i]
-                        own = next(shingle_sets(b, size)[0] for b in _blocks(first.slice(i, 1)))
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    links.append(100 * common >= threshold * (len(own) + len(other) - common))
+            links = []
+            for a, b in zip(_loaded(batch.column("set_u")), _loaded(batch.column("set_v"))):
+                both = np.sort(np.concatenate([a, b]))
+                common = np.count_nonzero(both[1:] == both[:-1])
+                links.append(100 * common >= threshold * (len(both) - common))
             pairs = pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v")], names=["u", "v"])
             yield pairs.filter(pa.array(links, pa.bool_()))
 
     return run
 
 
-def _sets(texts, size: int) -> list[np.ndarray]:
-    return [s for block in _blocks(texts) for s in shingle_sets(block, size)]
+def _blocked(buckets: int):
+    """Band keys and the classes that have them, in blocks by ranges of keys."""
+
+    def block(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, nodes = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        at = cells.cuts(keys, buckets)
+        full = np.flatnonzero(np.diff(at))
+        packs = [pa.array([x[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for x in (keys, nodes)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *packs], names=["bucket", "keys", "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            lists, nodes = batch.column("keys"), batch.column("node").to_numpy()
+            keys = lists.flatten().to_numpy().view(U64)
+            held.append((keys, np.repeat(nodes, lists.value_lengths().to_numpy())))
+            size += len(keys)
+            if size >= BLOCK:
+                yield block(held)
+                held, size = [], 0
+        if size:
+            yield block(held)
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a range of keys, those of several classes: each class that has one, and how many have it."""
+    keys = np.concatenate(_loaded(table.column("keys")))
+    order = np.argsort(keys)
+    keys, nodes = keys[order], np.concatenate(_loaded(table.column("nodes")))[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(starts, append=len(keys))
+    size = np.repeat(sizes, sizes)
+    kept = size > 1
+    return pa.table({"key": keys[kept].view(np.int64), "node": nodes[kept].view(np.int64), "size": size[kept]})
 
 
 def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
 
 
-def _send(size: int, buckets: int):
+def _send(buckets: int):
     """A chunk's different shingles with the number of its sets that have them, in cells."""
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = _counted(_sets(table.column("text"), size))
+        keys, counts = _counted(_loaded(table.column("shingles")))
         at = cells.cuts(keys, buckets)
         full = np.flatnonzero(np.diff(at))
         return pa.table(
@@ -193,11 +261,11 @@ def _add(table: pa.Table) -> pa.Table:
     )
 
 
-def _prefixes(size: int, threshold: int, buckets: int):
+def _prefixes(threshold: int, buckets: int):
     """Of each set, the rarest shingles that others have too, as many as a partner at the threshold must meet."""
 
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
-        sets = _sets(table.column("text"), size)
+        sets = _loaded(table.column("shingles"))
         keys, _ = _counted(sets)
         at, totals = cells.cuts(keys, buckets), np.zeros(len(keys), np.int64)
         for b, t in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()):
@@ -216,7 +284,7 @@ def _prefixes(size: int, threshold: int, buckets: int):
                 "token": pa.array(np.concatenate([np.zeros(0, U64), *token]).view(np.int64)),
                 "place": pa.array(np.concatenate([np.zeros(0, np.int64), *place]).astype(np.int64)),
                 "n": pa.array([len(s) for s in sets], pa.int64()).take(rows),
-                "id": table.column("id").take(rows),
+                "node": table.column("node").take(rows),
                 "comp": table.column("comp").take(rows),
             }
         )
@@ -246,26 +314,22 @@ def group(
 
     Linked are documents with 100 x common shingles >= `threshold` x all shingles; a component is named by its smallest id.
     """
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     kind = texts.schema["id"].dataType.simpleString()
     rows = rows_per_band(threshold / 100)
-    layout = f"id {kind}, n long, d0 long, d1 long, keys array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    layout = f"id {kind}, print long, n long, d0 long, d1 long, keys array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
     sketches = settled(texts.mapInArrow(_sketches(shingle, rows), layout))
-    classes = settled(
-        sketches.filter("n > 0 AND id IS NOT NULL")
-        .groupBy("d0", "d1")
-        .agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", *SIGNATURE)])
-    )
-    members = settled(_members(classes))
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
-    own = classes.select("d0", "d1", F.col("id").alias("own"))
-    placed = sketches.filter(linked).select("id", "d0", "d1").join(own, ["d0", "d1"])
-    labels = settled(_labels(texts, members, _of_one_id(placed), kind, shingle, threshold))
-    of_class = own.join(labels, F.col("own") == F.col("node"), "left").select(
-        "d0", "d1", F.coalesce("root", "own").alias("component")
-    )
-    found = sketches.select("id", "n", "d0", "d1").join(of_class, ["d0", "d1"], "left")
-    component = F.when(linked, F.col("component")).otherwise(F.col("id"))
+    sets = sketches.filter(linked)
+    first = F.min(F.struct("id", "print")).alias("first")
+    rest = [F.first(c).alias(c) for c in ("n", "keys", *SIGNATURE)]
+    classes = sets.groupBy("d0", "d1").agg(first, F.count("*").alias("size"), *rest)
+    number = F.monotonically_increasing_id().alias("node")
+    classes = settled(classes.select(number, "first.*", "d0", "d1", "size", "n", "keys", *SIGNATURE))
+    known = settled(_of_one_id(sets, classes))
+    named = _named(classes, _labels(texts, classes, known, shingle, threshold))
+    found = sketches.select("id", "n", "d0", "d1").join(named, ["d0", "d1"], "left")
+    component = F.when(linked, F.coalesce("component", "id")).otherwise(F.col("id"))
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -274,61 +338,85 @@ def group(
     )
 
 
-def _of_one_id(placed: DataFrame) -> DataFrame:
+def _of_one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Links `u, v` between the classes of an id that has several texts."""
-    several = placed.groupBy("id").agg(F.min("own").alias("v"), F.max("own").alias("high")).filter("v < high")
-    return placed.join(several, "id").filter("own <> v").select(F.col("own").alias("u"), "v")
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("d0", "d1") for f in (F.min, F.max)]
+    several = sets.groupBy("id").agg(*ends).filter("d0_min < d0_max OR d1_min < d1_max")
+    placed = sets.select("id", "d0", "d1").join(several.select("id"), "id")
+    placed = placed.join(classes.select("d0", "d1", "node"), ["d0", "d1"])
+    least = placed.groupBy("id").agg(F.min("node").alias("v"))
+    return placed.join(least, "id").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`d0, d1, component` of the classes that are linked or of several documents: the smallest id of the component."""
+    linked = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+    about = classes.select("node", "id", "d0", "d1", "size").join(linked, "node", "left").filter("root IS NOT NULL OR size > 1")
+    about = settled(about.withColumn("root", F.coalesce("root", "node")))
+    least = about.groupBy("root").agg(F.min("id").alias("component"))
+    return about.join(least, "root").select("d0", "d1", "component")
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Classes with each band key that they share with others."""
-    keyed = classes.select("id", F.explode("keys").alias("key"))
-    shared = (
-        keyed.groupBy("key")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
-        .filter("low < high")
-    )
-    near = keyed.join(shared.select("key", "size"), "key")
-    about = classes.select("id", "n", *SIGNATURE)
-    weight = near.groupBy("id").agg(F.sum("size").alias("weight"))
-    return near.select("key", "id").join(weight, "id").join(about, "id")
+    """`key, node, size, pivot`: classes with each band key that they share with others, and the key's central class."""
+    buckets = max(1, cells.PER_PARTITION * partitions(classes.sparkSession))
+    blocks = classes.select("node", "keys").mapInArrow(_blocked(buckets), "bucket int, keys binary, nodes binary")
+    near = settled(blocks.groupBy("bucket").applyInArrow(_shared, "key long, node long, size long"))
+    weight = near.groupBy("node").agg(F.sum("size").alias("weight"))
+    central = near.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p"))
+    return settled(near.join(central, "key").select("key", "node", "size", F.col("p.node").alias("pivot")))
+
+
+def _chosen(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`node, text` of the classes in `wanted` (`node, id, print`), one text of each; `texts`: `id, text, print`."""
+    slot, bit = F.pmod("print", F.lit(FILTER_BITS)), F.pmod("print", F.lit(BUCKET))
+    bucket = F.floor(slot / BUCKET).cast("int").alias("bucket")
+    bits = F.broadcast(wanted.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("bits")))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = texts.withColumn("bucket", bucket).join(bits, "bucket")
+    found = found.filter(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0).select("id", "print", "text")
+    one = found.join(wanted, ["id", "print"]).groupBy("id", "print", "node").agg(F.first("text").alias("text"))
+    return one.select("node", "text")
 
 
-def _links(pairs: DataFrame, shelf: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
-    """The pairs `u, v` that reach the threshold. The texts of `u`, which may be in many pairs, come last, next to them."""
-    with_v = pairs.join(shelf.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v")
-    both = with_v.join(shelf.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
-    return settled(both.mapInArrow(_confirmed(shingle, threshold), f"u {kind}, v {kind}"))
+def _shelf(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """`node, shingles` of the classes in `wanted`."""
+    return settled(_chosen(texts, wanted).mapInArrow(_shingled(shingle), "node long, shingles binary"))
 
 
-def _near_pivots(members: DataFrame, threshold: int) -> DataFrame:
+def _links(pairs: DataFrame, shelf: DataFrame, threshold: int) -> DataFrame:
+    """The pairs `u, v` that reach the threshold."""
+    for c in ("v", "u"):
+        pairs = pairs.join(shelf.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+    return settled(pairs.mapInArrow(_confirmed(threshold), "u long, v long"))
+
+
+def _near_pivots(members: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs of the central class of each key with the others of the key that may reach the threshold."""
-    about = ("n", *SIGNATURE)
-    central = members.groupBy("key").agg(F.max(F.struct("weight", "id", *about)).alias("p"))
-    p = central.select("key", "p.*").alias("p")
+    about = classes.select("node", "n", *SIGNATURE)
+    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = pairs.join(about.alias("p"), F.col("u") == F.col("p.node")).join(about.alias("m"), F.col("v") == F.col("m.node"))
     low, high = F.least("p.n", "m.n"), F.greatest("p.n", "m.n")
-    near = (
-        (F.col("p.key") == F.col("m.key"))
-        & (F.col("p.id") != F.col("m.id"))
-        & (100 * low >= threshold * high)
-        & (_similar("p", "m") >= threshold / 100 - MARGIN)
-    )
-    return p.join(members.alias("m"), near).select(F.col("p.id").alias("u"), F.col("m.id").alias("v")).distinct()
+    near = (100 * low >= threshold * high) & (_similar("p", "m") >= threshold / 100 - MARGIN)
+    return settled(pairs.filter(near).select("u", "v"))
 
 
-def _crossing(open_: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
-    """Pairs of different components among `id, text, comp` that may reach the threshold."""
-    chunks, count = cells.dealt(open_, "id", "text", "comp")
+def _crossing(open_: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components among `node, shingles, comp` that may reach the threshold."""
+    most = max(1, cells.PER_PARTITION * partitions(open_.sparkSession))
+    held = open_.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    count = min(most, held // (8 * CHUNK) + 1)
+    chunks = open_.select(cells.chunk_of(F.col("node"), F.col("node"), count).alias("chunk"), "node", "shingles", "comp")
     answers = (
         chunks.groupBy("chunk")
-        .applyInArrow(_send(shingle, count), "chunk int, bucket int, keys binary, counts binary")
+        .applyInArrow(_send(count), "chunk int, bucket int, keys binary, counts binary")
         .groupBy("bucket")
         .applyInArrow(_add, "chunk int, bucket int, totals binary")
     )
     rows = settled(
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_prefixes(shingle, threshold, count), f"token long, place long, n long, id {kind}, comp {kind}")
+        .applyInArrow(_prefixes(threshold, count), "token long, place long, n long, node long, comp long")
     )
     # The largest component of a token meets the others only, so its rows are not paired with one another. A token of many
     # rows is a rectangle of both sides, cut into tiles of at most TILE rows of either.
@@ -339,7 +427,7 @@ def _crossing(open_: DataFrame, kind: str, shingle: int, threshold: int) -> Data
     tiles = [F.ceil(n / TILE).alias(c) for n, c in ((F.col("all") - F.col("m.size"), "across"), (F.col("all"), "down"))]
     main = settled(of_token.filter("comps > 1").select("token", F.col("m.comp").alias("main"), *tiles))
     mixed = rows.join(main, "token")
-    x, y = (F.pmod(F.xxhash64("id"), F.col(c)) for c in ("across", "down"))
+    x, y = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("across", "down"))
     every_x, every_y = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("across", "down"))
     a = mixed.filter("comp <> main").withColumn("x", x).withColumn("y", every_y).alias("a")
     b = mixed.withColumn("y", y).withColumn("x", every_x).alias("b")
@@ -354,22 +442,26 @@ def _crossing(open_: DataFrame, kind: str, shingle: int, threshold: int) -> Data
         & (F.col("b.n") - F.col("b.place") >= common)
         & (100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
     )
-    return a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+    return a.join(b, near).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
-def _labels(texts: DataFrame, members: DataFrame, known: DataFrame, kind: str, shingle: int, threshold: int) -> DataFrame:
+def _labels(texts: DataFrame, classes: DataFrame, known: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """`node, root` of all classes that are linked with a smaller one; `known` links hold from the start."""
-    wanted = members.select("id").distinct()
-    shelf = settled(texts.join(wanted, "id").select("id", "text"))
-    links = _links(_near_pivots(members, threshold), shelf, kind, shingle, threshold).unionByName(known)
-    labels = components(links)
-    named = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
-    named = named.select("key", "id", F.coalesce("root", "id").alias("comp"))
+    members = _members(classes)
+    pairs = _near_pivots(members, classes, threshold)
+    # Of a key's classes, all were compared with the central one, so only the others may still have links with one another.
+    others = members.filter("size > 2 AND node <> pivot").select("key", "node")
+    met = [pairs.select(F.col("u").alias("node")), pairs.select(F.col("v").alias("node")), others.select("node")]
+    wanted = classes.select("node", "id", "print").join(met[0].union(met[1]).union(met[2]).distinct(), "node")
+    shelf = _shelf(texts, wanted, shingle)
+    labels = components(_links(pairs, shelf, threshold).unionByName(known))
+    named = others.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-    open_ = named.join(mixed, "key", "left_semi").select("id", "comp").distinct()
-    pairs = _crossing(shelf.join(open_, "id"), kind, shingle, threshold)
-    more = _links(pairs, shelf, kind, shingle, threshold)
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    open_ = settled(shelf.join(named.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "node"))
+    more = _links(_crossing(open_, threshold), open_, threshold)
+    if more.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def clean(documents: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
