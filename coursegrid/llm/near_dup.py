@@ -11,8 +11,9 @@
 4. Two classes that are already in one component need no comparison, nor do two of which one is the key's central class. For keys
    whose other classes are still in several components, the pairs of different components that could reach the threshold are
    found without listing pairs: a pair at the threshold must share a shingle among the rarest few of either set, at places that
-   leave room for enough common ones (prefix and position filter). Shingles are counted over all these classes, and pairs
-   confirmed on the full sets. Nothing is capped; in a family of copies few pairs are left here.
+   leave room for enough common ones (prefix and position filter), and not differ in more of the `PARITIES` than they may in
+   shingles. Shingles are counted over all these classes, and pairs confirmed on the full sets. Nothing is capped; in a family
+   of copies few pairs are left here.
 5. Components come from the confirmed links (`components`).
 
 Sketches are read once from the texts. Classes have numbers of their own; band keys travel in packed blocks, one per task and
@@ -28,6 +29,8 @@ are not read. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,8 @@ U32 = np.uint32
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 31, LANES, dtype=U32) * U32(2) + U32(1)
 _SHIFTS = np.random.default_rng(78).integers(0, 1 << 32, LANES, dtype=U32)
 SIGNATURE = ["s0", "s1", "s2", "s3"]
+#: Each has for 64 ranges of hashes whether a set has an odd number of shingles there: sets differ in at least as many shingles.
+PARITIES = ["p0", "p1", "p2", "p3", "p4", "p5", "p6", "p7"]
 
 
 def rows_per_band(threshold: float) -> int:
@@ -261,6 +266,12 @@ def _add(table: pa.Table) -> pa.Table:
     )
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    size = 64 * len(PARITIES)
+    odd = np.bincount((own & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefixes(threshold: int, buckets: int):
     """Of each set, the rarest shingles that others have too, as many as a partner at the threshold must meet."""
 
@@ -279,6 +290,7 @@ def _prefixes(threshold: int, buckets: int):
             token.append(own[order[shared]])
             place.append(shared)
         rows = pa.array(np.concatenate([np.zeros(0, np.int64), *row]).astype(np.int64))
+        odd = np.array([_parities(s) for s in sets], np.int64).reshape(len(sets), len(PARITIES))
         return pa.table(
             {
                 "token": pa.array(np.concatenate([np.zeros(0, U64), *token]).view(np.int64)),
@@ -286,6 +298,7 @@ def _prefixes(threshold: int, buckets: int):
                 "n": pa.array([len(s) for s in sets], pa.int64()).take(rows),
                 "node": table.column("node").take(rows),
                 "comp": table.column("comp").take(rows),
+                **{p: pa.array(odd[:, i]).take(rows) for i, p in enumerate(PARITIES)},
             }
         )
 
@@ -413,10 +426,9 @@ def _crossing(open_: DataFrame, threshold: int) -> DataFrame:
         .groupBy("bucket")
         .applyInArrow(_add, "chunk int, bucket int, totals binary")
     )
+    layout = ", ".join(f"{c} long" for c in ("token", "place", "n", "node", "comp", *PARITIES))
     rows = settled(
-        chunks.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_prefixes(threshold, count), "token long, place long, n long, node long, comp long")
+        chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_prefixes(threshold, count), layout)
     )
     # The largest component of a token meets the others only, so its rows are not paired with one another. A token of many
     # rows is a rectangle of both sides, cut into tiles of at most TILE rows of either.
@@ -433,6 +445,7 @@ def _crossing(open_: DataFrame, threshold: int) -> DataFrame:
     b = mixed.withColumn("y", y).withColumn("x", every_x).alias("b")
     # Least number of common shingles of two sets of these sizes that reaches the threshold.
     common = F.ceil(F.lit(threshold) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + threshold) - F.lit(1e-9))
+    differ = reduce(add, [F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES])
     near = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.x") == F.col("b.x"))
@@ -441,6 +454,7 @@ def _crossing(open_: DataFrame, threshold: int) -> DataFrame:
         & (F.col("a.n") - F.col("a.place") >= common)
         & (F.col("b.n") - F.col("b.place") >= common)
         & (100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
+        & (differ <= F.col("a.n") + F.col("b.n") - 2 * common)
     )
     return a.join(b, near).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import brute
+import numpy as np
 import pytest
 
 from coursegrid.llm import components, near_dup
@@ -71,6 +72,16 @@ def test_no_second_search_for_two_that_were_compared(spark, monkeypatch):
     assert opened == [0]
 
 
+def test_parities_differ_in_no_more_than_the_sets():
+    rnd = np.random.default_rng(9)
+    for n, other in ((1, 0), (20, 3), (400, 60), (400, 130), (5000, 900)):
+        a = near_dup._different(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = near_dup._different(np.concatenate([a[other // 2 :], rnd.integers(0, 1 << 63, other, dtype=np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (near_dup._parities(a) ^ near_dup._parities(b)).view(np.uint64))
+        most = len(np.setxor1d(a, b))
+        assert most // 2 <= differ <= most if n < 1000 else differ <= most
+
+
 def test_family_of_copies(spark):
     """Copies of all degrees, of which many reach the threshold through others only."""
     base = _words(5, 250)
